@@ -14,6 +14,14 @@ HOT_LEAST = 1000
 BROADCAST_IDS = 1_000_000
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, whose session from now on hands Python at most so many rows at a time: whole texts can be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= rows:
+        df.sparkSession.conf.set(key, str(rows))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
