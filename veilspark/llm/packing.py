@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 CUT = 170
 WINDOWS = 256
 SLACK = (12, 64)
@@ -143,31 +145,36 @@ class Packer:
 
 
 @lru_cache(1)
-def _encoder(vocabulary: str):
-    """Two encoders of the same ids: the file's own, and a faster one of its ranks for texts of Latin-1."""
-    import public_tokenizers
-    import tiktoken
+def _own(vocabulary: str):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_str(vocabulary)
     own.encode_special_tokens = True
+    return own
+
+
+@lru_cache(1)
+def _ranks(vocabulary: str):
+    """A faster encoder to the same ids, from the ranks of the file's vocabulary."""
+    import public_tokenizers
+    import tiktoken
+
     # The printable stand-ins that byte-level vocabularies use for bytes.
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
-    model = json.loads(vocabulary)["model"]
-    ranks = {bytes(byte[c] for c in t): i for t, i in model["vocab"].items() if all(c in byte for c in t)}
-    special = {t["content"].encode() for t in json.loads(vocabulary).get("added_tokens", ())}
-    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for t, i in ranks.items() if t not in special}, special_tokens={})
-    return own, fast
+    file = json.loads(vocabulary)
+    special = {t["content"] for t in file.get("added_tokens", ())}
+    ranks = {bytes(byte[c] for c in t): i for t, i in file["model"]["vocab"].items() if t not in special}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def encode(text: str, vocabulary: str) -> list[int]:
-    own, fast = _encoder(vocabulary)
+    """The file's own encoder decides beyond Latin-1, where the two could split texts by other Unicode tables."""
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:
-        return own.encode(text, add_special_tokens=False).ids
-    return fast.encode_ordinary(text)
+        return _own(vocabulary).encode(text, add_special_tokens=False).ids
+    return _ranks(vocabulary).encode_ordinary(text)
 
 
 def pack_sequences(docs: DataFrame, tokenizer: str, capacity: int = 1024, separator: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,14 +203,14 @@ def pack_sequences(docs: DataFrame, tokenizer: str, capacity: int = 1024, separa
                     new = packer.take(doc, np.frombuffer(ids, np.uint32))
                     rows += new
                     held += sum(len(r[-1]) for r in new)
-                    if held >= 8 << 20:
+                    if held >= 4 << 20:
                         yield _batch(rows)
                         rows, held = [], 0
         rows += packer.end()
         if rows:
             yield _batch(rows)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
