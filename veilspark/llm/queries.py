@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunk_dedup, exact_dedup, html_extraction, language_id, packing, simhash, toxicity, vptree
+from . import bpe, chunk_dedup, exact_dedup, html_extraction, language_id, packing, simhash, suffix_dedup, toxicity, vptree
 from .common import table
 
 
@@ -56,6 +56,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.byte_bpe(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), pattern(), digests=True)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), digests=True)
+
+
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_simhash": op6_simhash,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_nearest": op9_nearest,
     "op10_exact_dedup": op10_exact_dedup,
 }
