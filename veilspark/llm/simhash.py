@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, stage, without_ids
+from .common import lookup, small_batches, stage, without_ids
 
 KEPT = 3
 BLOCK = 1 << 15
@@ -52,7 +52,7 @@ def fingerprint(hashes: np.ndarray, more: int = 1) -> list[int]:
     """64 * more bits: bit i is 1 if it is set in over half of the hashes.  Words after the first use remixed hashes."""
     out = []
     for w in range(more):
-        h = hashes if not w else _mix(hashes + np.uint64(w) * np.uint64(0x9E3779B97F4A7C15))
+        h = _mix(hashes + np.uint64(w * 0x9E3779B97F4A7C15 % 2**64)) if w else hashes
         counts = np.zeros(64, np.int64)
         for at in range(0, len(h), 1 << 14):
             counts += np.unpackbits(h[at : at + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
@@ -265,7 +265,7 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, more: int = 1,
                 yield pa.RecordBatch.from_arrays(columns, schema=out)
 
     schema = ", ".join(f"{n} {'array<long>' if n == 'keys' else 'long'}" for n, _ in fields)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3, seed: int = 42, more: int = 1, bands: tuple[int, int] | None = None, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
