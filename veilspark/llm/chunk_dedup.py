@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import HOT_LEAST, HOT_SHARE, small_batches, stage
 
@@ -165,7 +166,8 @@ def dedup_substrings(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc
     joined = docs.join(F.broadcast(cut) if few else cut, docs[id_col].cast("long") == cut._cut_of, "left").drop("_cut_of")
     names = docs.columns
     text = names.index(text_col)
-    schema = docs.schema.add("_n_bytes", "long").add("_n_removed", "long").add("_n_spans", "long")
+    counted = T.StructType.fromDDL("_n_bytes long, _n_removed long, _n_spans long")
+    schema = T.StructType([*docs.schema.fields, *counted.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
