@@ -101,6 +101,11 @@ def finite_positive(value: Column) -> Column:
     return F.when(own > 0, own)
 
 
+def micros(ts: Column | str) -> Column:
+    """Microseconds since the epoch, of timestamps with or without a zone (the session's zone counts for those without)."""
+    return F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
+
+
 def clamp(value: Column, low, high) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), value))
 

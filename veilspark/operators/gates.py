@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.triage import strip
+from ..functions.validators import micros
 
 
 def should_scan(text: Column) -> Column:
@@ -56,5 +57,5 @@ def honoured_writes(events: DataFrame, key: str, ts: str, kind: str, intent: str
     first = F.when(F.col(kind) == intent, 0).otherwise(1)
     upto = Window.partitionBy(key).orderBy(ts, first).rowsBetween(Window.unboundedPreceding, 0)
     own = events.filter(F.col(kind).isin(intent, write)).withColumn("intent_ts", F.max(F.when(F.col(kind) == intent, F.col(ts))).over(upto))
-    age = F.unix_micros(ts) - F.unix_micros("intent_ts")
+    age = micros(ts) - micros("intent_ts")
     return own.filter(F.col(kind) == write).withColumn("honoured", F.coalesce(age <= window_ms * 1000, F.lit(False)))
