@@ -19,7 +19,7 @@ RECORDS = (
 def texts(spark: SparkSession, path: str, schema: str | None = None, kind: str = "parquet") -> DataFrame:
     """Texts from Parquet, ORC, JSON lines, CSV with a header, or plain text files (one text per file)."""
     if kind == "text":
-        return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+        return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
     reader = spark.read.schema(schema or TEXTS) if kind in ("json", "csv") or schema else spark.read
     if kind == "csv":
         reader = reader.option("header", True).option("multiLine", True).option("escape", '"')
