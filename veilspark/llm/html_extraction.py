@@ -53,13 +53,14 @@ _SPACE = re.compile(r"\s+")
 def _named(attrs: str) -> tuple[str, bool]:
     """The part of a node's name that its attributes give, and whether they say that it isn't the article."""
     got = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
-    name = "#" + got["id"] if got.get("id") else "." + got["class"].split()[0] if got.get("class", "").split() else ""
+    # Ids number things, classes name them.
+    name = "#" + re.sub(r"\d+", "0", got["id"]) if got.get("id") else "." + got["class"].split()[0] if got.get("class", "").split() else ""
     out = "hidden" in got or got.get("aria-hidden") == "true"
     for value in (got.get("class"), got.get("id"), got.get("role")):
         for part in (value or "").split():
             words = _WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", part).lower())
             out = out or any(w in NAMES for w in words)
-    return re.sub(r"\d+", "0", name), out
+    return name, out
 
 
 class Node:

@@ -248,7 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "toxic", "x"])
 
     got = rows.mapInArrow(measure, "doc_id long, toxic boolean, x array<double>").orderBy("doc_id").limit(2 * sample).toArrow()
-    x = np.array(got.column("x").to_pylist(), np.float64).reshape(got.num_rows, -1)
+    x = np.array(got.column("x").to_pylist(), np.float64).reshape(got.num_rows, len(features("", {})))
     y = got.column("toxic").to_numpy().astype(np.float64)
     return Model(lexicon, x, y, np.array([zlib.crc32(str(i).encode()) // FOLDS % 3 for i in got.column("doc_id").to_pylist()], np.int64))
 
