@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage
+from .common import BROADCAST_IDS, lookup, small_batches, stage
 
 WINDOW = 50
 GRAM = 20
@@ -139,7 +139,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     rank = np.zeros(n + 3, np.int64)
     rank[sample] = place + 1
     zero = np.arange(0, n, 3)
-    zero = zero[np.argsort(t[zero] << 22 | rank[zero + 1], kind="stable")]
+    zero = zero[np.argsort(t[zero] << 22 | rank[zero + 1])]
     sampled = sample[order]
     sampled = sampled[sampled < n]
     # Where each remaining suffix falls among the sampled ones of either kind.
@@ -156,19 +156,17 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated(texts: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
-    """For each text the starts of its windows that also occur in a text of a smaller document."""
+def repeated(texts: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs (text, start, end) that windows cover which also occur in a text of a smaller document."""
     sizes = np.array([len(x) for x in texts], np.int64)
     joined = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
-    begin = np.r_[0, np.cumsum(sizes + 1)[:-1]]
+    begin = np.cumsum(sizes + 1) - sizes - 1
     s = joined.astype(np.int64) + 2
     s[begin + sizes] = 1
     order = suffix_array(s)
     owner = np.repeat(np.arange(len(texts)), sizes + 1)
-    whole = begin[owner] + sizes[owner] - np.arange(len(joined)) >= WINDOW
+    whole = np.repeat(begin + sizes - WINDOW, sizes + 1) >= np.arange(len(joined))
     order = order[whole[order]]
-    if not len(order):
-        return [np.zeros(0, np.int64) for _ in texts]
     # Adjacent prefixes, some at a time.
     same = np.zeros(len(order), bool)
     reach = np.arange(WINDOW)
@@ -177,20 +175,19 @@ def repeated(texts: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
         both = joined[order[lo - 1 : hi, None] + reach]
         same[lo:hi] = (both[1:] == both[:-1]).all(axis=1)
     starts = np.flatnonzero(~same)
-    least = np.minimum.reduceat(docs[owner[order]], starts)
-    hit = np.repeat(least, np.diff(np.r_[starts, len(order)])) < docs[owner[order]]
+    own = docs[owner[order]]
+    least = np.minimum.reduceat(own, starts) if len(starts) else own
+    hit = np.repeat(least, np.diff(starts, append=len(order))) < own
     flagged = np.sort(order[hit])
-    cut = np.searchsorted(flagged, begin)
-    return [flagged[a:b] - x for a, b, x in zip(cut.tolist(), [*cut[1:].tolist(), len(flagged)], begin.tolist())]
-
-
-def _runs(starts: np.ndarray, width: int = WINDOW) -> list[tuple[int, int]]:
-    """Maximal ranges that windows at the sorted starts cover."""
-    if not len(starts):
-        return []
-    new = np.flatnonzero(np.r_[True, starts[1:] > starts[:-1] + width])
-    last = np.r_[new[1:] - 1, len(starts) - 1]
-    return list(zip(starts[new].tolist(), (starts[last] + width).tolist()))
+    if not len(flagged):
+        return (np.zeros(0, np.int64),) * 3
+    of = owner[flagged]
+    new = np.ones(len(flagged), bool)
+    new[1:] = (flagged[1:] > flagged[:-1] + WINDOW) | (of[1:] != of[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(flagged)) - 1
+    who = of[first]
+    return who, flagged[first] - begin[who], flagged[last] + WINDOW - begin[who]
 
 
 # -- steps on tables -------------------------------------------------------------------------------
@@ -435,10 +432,10 @@ def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             docs.append(least)
             places.append([(doc, h, start) for doc, h, start in at if doc == least])
         for part in _parts(texts):
-            for i, starts in zip(part, repeated([texts[i] for i in part], np.array([docs[i] for i in part], np.int64))):
-                for a, b in _runs(starts):
-                    for doc, h, start in places[i]:
-                        found[doc, h].append((start + a, start + b))
+            own = repeated([texts[i] for i in part], np.array([docs[i] for i in part], np.int64))
+            for j, a, b in zip(*(x.tolist() for x in own)):
+                for doc, h, start in places[part[j]]:
+                    found[doc, h].append((start + a, start + b))
         if found:
             yield _rows(_RUNS, [(doc, h, _pack_runs(runs)) for (doc, h), runs in found.items()])
 
@@ -488,6 +485,22 @@ def _finish(group_runs: list[bytes], data: bytes) -> tuple[list[tuple[int, int]]
     return runs, b"".join([*kept, data[at:]])
 
 
+def _copies(rows: DataFrame) -> DataFrame:
+    """doc_id, h and n_bytes of texts of WINDOW bytes or more that a smaller document holds as a whole.
+
+    All of such a text goes, and whatever it shares with others its original shares too, so it needs no array.
+    """
+    keyed = rows.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= WINDOW)).select("doc_id", "h", F.octet_length("text").alias("n_bytes"), F.sha2("text", 256).alias("key"))
+    groups = keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("size")).filter("first < last")
+    return lookup(keyed, stage(groups), "key", "size", ["first"]).filter("first < doc_id").select("doc_id", "h", "n_bytes")
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            yield _rows(_RUNS, [(d, h, _pack_runs([(0, n)])) for d, h, n in zip(*(c.to_pylist() for c in batch.columns))])
+
+
 def remove_repeats(docs: DataFrame, digests: bool = False, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the bytes kept (their SHA-256 in hex as kept_sha256, with digests).
 
@@ -501,10 +514,15 @@ def remove_repeats(docs: DataFrame, digests: bool = False, hot: int = HOT, id_co
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).cast("string").alias("_x"), text.alias("text"))
     rows = rows.select("doc_id", F.hash("_x").alias("h"), "text")
+    on = lambda df: (F.col("doc_id") == df["_d"]) & (F.col("h") == df["_h"])
+    copies = stage(_copies(rows))
+    gone = copies.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"))
+    few = copies.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    own = rows.join(F.broadcast(gone) if few else gone, on(gone), "left_anti")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # About eight megabytes of packed anchors a bucket at most, whatever the input.
     sieve_buckets = max(256, total // (16 << 20))
-    sent = rows.mapInArrow(_send_anchors(sieve_buckets), _SIEVE)
+    sent = own.mapInArrow(_send_anchors(sieve_buckets), _SIEVE)
     # Directories go where their block's number says, the rest by bucket.
     dealt = sent.repartition(F.when(F.col("bucket") < 0, F.col("block")).otherwise(F.col("bucket"))).sortWithinPartitions("bucket")
     replies = dealt.mapInArrow(_sieve(hot), _REPLY)
@@ -513,12 +531,13 @@ def remove_repeats(docs: DataFrame, digests: bool = False, hot: int = HOT, id_co
     # An answer is about a byte an anchor, an anchor about seventy bytes of text.
     buckets = max(64, size * 70 // BUCKET_BYTES)
     w = wanted.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "data")
-    met = rows.join(w.hint("shuffle_hash"), (F.col("doc_id") == F.col("_d")) & (F.col("h") == F.col("_h")), "inner")
+    # The texts are dealt by document once; the join at the end reads the same shuffle.
+    met = rows.join(w.hint("shuffle_hash"), on(w), "inner")
     texts = met.select("doc_id", "h", "text", "data").mapInArrow(_send_texts(buckets), _TEXTS)
     placed = texts.repartition(F.when(F.col("bucket") < 0, F.col("doc_id")).otherwise(F.col("bucket"))).sortWithinPartitions("bucket")
-    runs = placed.mapInArrow(_arrays, _RUNS).groupBy("doc_id", "h").agg(F.collect_list("data").alias("runs"))
-    runs = stage(runs).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "runs")
-    all_rows = rows.join(runs.hint("shuffle_hash"), (F.col("doc_id") == F.col("_d")) & (F.col("h") == F.col("_h")), "left").select("doc_id", "text", "runs")
+    found = placed.mapInArrow(_arrays, _RUNS).unionByName(copies.mapInArrow(_whole, _RUNS))
+    runs = found.groupBy("doc_id", "h").agg(F.collect_list("data").alias("runs")).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "runs")
+    all_rows = rows.join(runs.hint("shuffle_hash"), on(runs), "left").select("doc_id", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = ("kept_sha256", pa.string()) if digests else ("kept", pa.binary())
