@@ -532,12 +532,16 @@ def remove_repeats(docs: DataFrame, digests: bool = False, hot: int = HOT, id_co
     buckets = max(64, size * 70 // BUCKET_BYTES)
     w = wanted.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "data")
     # The texts are dealt by document once; the join at the end reads the same shuffle.
-    met = rows.join(w.hint("shuffle_hash"), on(w), "inner")
-    texts = met.select("doc_id", "h", "text", "data").mapInArrow(_send_texts(buckets), _TEXTS)
+    # Both joins name the columns anew, in the same way: only then Spark sees one shuffle in the two.
+    named = lambda: rows.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("_doc"), F.col("h").alias("_of"), F.col("text").alias("_text"))
+    at = lambda df: (F.col("_doc") == df["_d"]) & (F.col("_of") == df["_h"])
+    met = named().join(w.hint("shuffle_hash"), at(w), "inner")
+    texts = met.select(F.col("_doc").alias("doc_id"), F.col("_of").alias("h"), F.col("_text").alias("text"), "data").mapInArrow(_send_texts(buckets), _TEXTS)
     placed = texts.repartition(F.when(F.col("bucket") < 0, F.col("doc_id")).otherwise(F.col("bucket"))).sortWithinPartitions("bucket")
     found = placed.mapInArrow(_arrays, _RUNS).unionByName(copies.mapInArrow(_whole, _RUNS))
     runs = found.groupBy("doc_id", "h").agg(F.collect_list("data").alias("runs")).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "runs")
-    all_rows = rows.join(runs.hint("shuffle_hash"), on(runs), "left").select("doc_id", "text", "runs")
+    all_rows = named().join(runs.hint("shuffle_hash"), at(runs), "left").select(F.col("_doc").alias("doc_id"), F.col("_text").alias("text"), "runs")
+    all_rows = all_rows.unionByName(rows.filter("doc_id IS NULL").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("runs")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = ("kept_sha256", pa.string()) if digests else ("kept", pa.binary())
