@@ -24,9 +24,9 @@ from pyspark.sql import types as T
 from .common import HOT_LEAST, HOT_SHARE, small_batches, stage
 
 CUT_BITS = 5
-MIN_CHUNK = 12
+MIN_CHUNK = 4
 MAX_CHUNK = 256
-MIN_RUN = 100
+MIN_RUN = 80
 #: Rows of spans that may be broadcast to the documents (about 40 bytes each).
 BROADCAST_SPANS = 200_000
 
@@ -109,10 +109,11 @@ def _duplicates(docs: DataFrame) -> DataFrame:
     hot = shared.filter(F.col("n") >= hot_from).select(F.col("d1").alias("h1"), F.col("d2").alias("h2"), F.col("first").alias("hot"))
     cold = shared.filter(F.col("n") < hot_from).select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.col("first").alias("cold"))
     rows = found.join(F.broadcast(hot), (F.col("d1") == F.col("h1")) & (F.col("d2") == F.col("h2")), "left")
-    mine = rows.filter(F.col("hot").isNotNull() & (F.col("hot") < F.col("doc_id"))).select("doc_id", "start", "size")
-    rest = rows.filter(F.col("hot").isNull()).select("d1", "d2", "doc_id", "start", "size")
-    also = rest.join(cold, (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2"))).filter(F.col("cold") < F.col("doc_id")).select("doc_id", "start", "size")
-    return mine.union(also)
+    # What a hot digest has answered goes anywhere; the rest meets its digest.
+    away = F.col("hot").isNotNull()
+    rows = rows.select("doc_id", "start", "size", "hot", F.when(away, F.xxhash64("doc_id", "start")).otherwise(F.col("d1")).alias("k1"), F.when(away, -1).otherwise(F.col("d2")).alias("k2"))
+    met = rows.join(cold, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
+    return met.filter(F.coalesce("hot", "cold") < F.col("doc_id")).select("doc_id", "start", "size")
 
 
 def spans(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
