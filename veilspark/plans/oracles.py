@@ -201,8 +201,16 @@ def fakes(source: str, key: str) -> str:
                     FROM (SELECT doc_id, category, v, {key} AS k FROM ({entities(source)}))))"""
 
 
-_JS = r"[\t-\r ]"
 _STRIP = f"trim(text, {_SPACE})"
+def fake_id(v: str) -> str:
+    """v with digits from the stream and letters from the turned streams; seed and low_seed are columns."""
+    c = f"substr({v}, i, 1)"
+    before = lambda kind: f"length(regexp_replace(substr({v}, 1, i - 1), '[^{kind}]', '', 'g'))"
+    turned = lambda stream, kind, seed: f"substr({text(stream)}, CAST(({before(kind)} + {seed}) % {len(stream)} AS INTEGER) + 1, 1)"
+    digit = f"coalesce(nullif(substr(repeat({text(P.DIGITS)} || CAST(seed AS VARCHAR), 3), {before('0-9')} + 1, 1), ''), '0')"
+    return f"array_to_string(list_transform(range(1, length({v}) + 1), lambda i: CASE WHEN {c} BETWEEN '0' AND '9' THEN {digit} WHEN regexp_matches({c}, '[A-Z]') THEN {turned(P.UPPER, 'A-Z', 'seed')} WHEN regexp_matches({c}, '[a-z]') THEN {turned(P.LOWER, 'a-z', 'low_seed')} ELSE {c} END), '')"
+
+
 _QUICK = (r"[\w.+-]+@[\w-]+\.[\w.-]+", r"(?:\+?\d[\s\-/.()]*){7,}", r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b", r"\b(?:\d[ -]?){13,19}\b")
 
 
@@ -224,6 +232,50 @@ def chunked(limit: int, least: int, overlap: int) -> str:
         SELECT doc_id, chunk::BIGINT AS chunk, a::BIGINT AS chunk_start, least(b, length(text))::BIGINT AS chunk_end, boundary, sha256(substr(text, a + 1, b - a)) AS text_sha256 FROM c"""
 
 
+def triage(source: str) -> str:
+    """Decision, reason and signals of each text of source(doc_id, text)."""
+    has = lambda c, p: f"regexp_matches({c}, {text('(?i)' + p)})"
+    strip = lambda c: f"regexp_replace(regexp_replace({c}, '^[^\\p{{L}}\\p{{N}}]+', ''), '[^\\p{{L}}\\p{{N}}]+$', '')"
+    caps = lambda c: f"(upper({c}) = {c} AND lower({c}) <> {c})"
+    title = lambda c: f"(regexp_full_match({c}, '\\p{{Lu}}[\\p{{L}}''’-]+') AND NOT {caps(c)})"
+
+    def tokens(pattern: str) -> str:
+        r = text(pattern)
+        return f"""(SELECT doc_id, open, k, s, {strip("ms[k]")} AS token FROM (
+            SELECT doc_id, open, k, ms, CAST(list_sum(list_transform(gaps[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:k - 1], lambda x: length(x))), 0) AS BIGINT) AS s
+            FROM (SELECT doc_id, open, gaps, ms, unnest(range(1, len(ms) + 1)) AS k FROM (SELECT doc_id, open, string_split_regex(open, {r}) AS gaps, regexp_extract_all(open, {r}) AS ms FROM short))))"""
+
+    names = ", ".join(text(n) for n in P.FIRST_NAMES)
+    particles = ", ".join(text(n) for n in P.PARTICLES)
+    own = f"trim(text, {_SPACE})"
+    flat = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
+    low = " OR ".join(has("flat", p) for p in P.LOW_RISK)
+    return f"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM {source}),
+        e AS ({entities(source)}),
+        found AS (SELECT doc_id, count(*) AS n FROM e GROUP BY doc_id),
+        cut AS (SELECT doc_id, max(e) AS upto, string_agg(substr(text, prev + 1, s - prev) || repeat(' ', e - s), '' ORDER BY s) AS out
+                FROM (SELECT e.*, t.text, coalesce(lag(e.e) OVER (PARTITION BY e.doc_id ORDER BY e.s), 0) AS prev FROM e JOIN t USING (doc_id)) GROUP BY doc_id),
+        sized AS (SELECT t.doc_id, {own} AS own, {flat} AS flat, coalesce(n, 0) AS n, coalesce(out || substr(text, upto + 1), text) AS open,
+                         length({own}) > {P.BYPASS_CHARS} OR len(string_split_regex({own}, '\\r\\n|\\r|\\n')) > {P.BYPASS_LINES} AS large
+                  FROM t LEFT JOIN found USING (doc_id) LEFT JOIN cut USING (doc_id)),
+        short AS (SELECT * FROM sized WHERE own <> '' AND NOT large),
+        words AS {tokens(r"\b[\p{L}'’-]{2,}\b")},
+        capitals AS {tokens(r"\b\p{Lu}[\p{L}'’-]{1,}\b")},
+        first_name AS (SELECT DISTINCT doc_id FROM words WHERE lower(token) IN ({names})),
+        parts AS (SELECT DISTINCT a.doc_id FROM words a JOIN words b ON a.doc_id = b.doc_id AND b.k = a.k + 1
+                  WHERE regexp_full_match(substr(a.open, a.s + length(a.token) + 1, b.s - a.s - length(a.token)), '\\s+') AND {title("a.token")} AND ({title("b.token")} OR lower(b.token) IN ({particles}))),
+        middle AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, token, regexp_replace(substr(open, 1, s), '[\\s"''(\\[{{]+$', '') AS ahead FROM capitals)
+                   WHERE token <> '' AND NOT {caps("token")} AND ahead <> '' AND NOT regexp_matches(ahead, '[.!?。！？:;]$')),
+        signals AS (SELECT doc_id, concat_ws(',', CASE WHEN {has("open", P.HONORIFIC)} THEN 'honorific' END, CASE WHEN {has("open", P.ADDRESS)} THEN 'address' END, CASE WHEN {has("open", P.COMPANY)} THEN 'company' END,
+                           CASE WHEN {has("open", P.ID_CONTEXT)} OR {has("open", P.ID_VALUE)} THEN 'id_context' END, CASE WHEN doc_id IN (SELECT doc_id FROM first_name) THEN 'known_first_name' END,
+                           CASE WHEN doc_id IN (SELECT doc_id FROM parts) THEN 'multi_part_name' END, CASE WHEN doc_id IN (SELECT doc_id FROM middle) THEN 'mid_sentence_capitalized_token' END) AS risk FROM short)
+        SELECT doc_id, CASE WHEN own = '' THEN 'safe_skip_ai' WHEN large OR risk <> '' THEN 'needs_ai' WHEN n > 0 THEN 'deterministic_only' WHEN {low} THEN 'safe_skip_ai' ELSE 'needs_ai' END AS decision,
+               CASE WHEN own = '' THEN 'empty' WHEN large THEN 'too_large_for_bypass' WHEN risk <> '' THEN 'open_semantic_risk' WHEN n > 0 THEN 'structured_pii_only' WHEN {low} THEN 'explicit_low_risk_snippet' ELSE 'not_explicitly_low_risk' END AS reason,
+               coalesce(risk, '') AS risk_signals
+        FROM sized LEFT JOIN signals USING (doc_id)"""
+
+
 def sessions(source: str, key: str, minutes: int) -> str:
     """source's rows with a session number; ts in microseconds as us."""
     return f"""
@@ -268,7 +320,14 @@ ORACLE_SQL: dict[str, str] = {
     "seeds": f"SELECT doc_id, seed, {hash36('seed')} AS hash36 FROM (SELECT doc_id, CAST({fnv('substr(text, 1, 60)')} AS BIGINT) AS seed FROM {DOCS})",
     "fake_structured": f"SELECT doc_id, category, v AS original, replacement FROM ({fakes(f'(SELECT * FROM {DOCS} UNION ALL SELECT -1 - doc_id, text FROM {FIXTURE})', 'v')})",
     "fake_keyed": f"SELECT doc_id, category, v AS original, replacement, k AS entity_key FROM ({fakes(DOCS, chr(39).join(['category || ', ':', ' || CASE category WHEN ', 'email', ' THEN lower(v) ELSE v END']))})",
+    "fake_ids": f"SELECT c_custkey, {fake_id('c_name')} AS id_value, 'Redacted-' || substr({hash36('seed')}, 1, 6) AS other_value FROM (SELECT c_custkey, c_name, CAST({fnv('c_name')} AS BIGINT) AS seed, CAST({fnv("(c_name || ':lower')")} AS BIGINT) AS low_seed FROM customer)",
+    "copy_controls": f"""
+        SELECT id, regexp_matches(concat_ws(' ', nullif(label, ''), nullif(title, '')), {text('(?i)' + P.COPY_CONTROL)}) AS is_control, NOT alt AND ((lower(k) = 'c' AND (ctrl OR meta)) OR (lower(k) = 'insert' AND ctrl AND NOT meta)) AS is_shortcut
+        FROM {values([(i, *r) for i, r in enumerate(Q.CONTROLS)], "id", "label", "title", "k", "ctrl", "meta", "alt")}""",
+    "anonymize_without_model": f"SELECT doc_id, decision, CASE decision WHEN 'needs_ai' THEN 'error' ELSE 'complete' END AS analysis_status, CASE decision WHEN 'needs_ai' THEN 'ai_unavailable' END AS error, decision = 'needs_ai' AS blocked FROM ({triage(DOCS)})",
     "restore_roundtrip": f"SELECT doc_id, text AS restored_text FROM {DOCS}",
+    "triage_documents": triage(DOCS),
+    "triage_conversations": triage(TALKS),
     "triage_limits": f"SELECT doc_id, n_chars, n_lines, n_chars > {P.BYPASS_CHARS} OR n_lines > {P.BYPASS_LINES} AS too_large FROM (SELECT doc_id, length({_STRIP}) AS n_chars, CASE WHEN {_STRIP} = '' THEN 0 ELSE len(string_split_regex({_STRIP}, '\\r\\n|\\r|\\n')) END AS n_lines FROM {DOCS})",
     "chunk_documents": chunked(8000, 1200, 160),
     "chunk_short": chunked(1000, 300, 40),
