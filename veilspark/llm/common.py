@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: A key is hot when it holds at least this share of all rows, so there are at most 1 / HOT_SHARE hot keys.
 HOT_SHARE = 1e-3
 HOT_LEAST = 1000
@@ -16,6 +18,7 @@ BROADCAST_IDS = 1_000_000
 
 def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     """df, whose session from now on hands Python at most so many rows at a time: whole texts can be long."""
+    ship(df.sparkSession)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(df.sparkSession.conf.get(key)) <= rows:
         df.sparkSession.conf.set(key, str(rows))

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 SHARD = 8192
 BLOCK = 4096
 LEAF = 256
@@ -135,7 +137,7 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 5, factor: float = 1.0,
     """
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     vec = F.col(vec_col).cast("array<float>" if "float" in dict(vectors.dtypes)[vec_col] else "array<double>")
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), vec.alias("vec"), F.expr(is_query).alias("asks")).filter(
+    rows = small_batches(vectors).select(F.col(id_col).cast("long").alias("vec_id"), vec.alias("vec"), F.expr(is_query).alias("asks")).filter(
         F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & ~F.exists("vec", bad) & F.exists("vec", lambda x: x != 0)
     )
     n, asked = rows.agg(F.count(F.lit(1)), F.count_if("asks")).first()
