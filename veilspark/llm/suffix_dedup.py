@@ -234,7 +234,11 @@ def _send_anchors(buckets: int):
             c = np.r_[np.ones(len(ask), np.uint32), counts.astype(np.uint32)]
             order = np.argsort(k, kind="stable")
             k, r, o, c = k[order], r[order], o[order], c[order]
-            where = ((k >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
+            # An anchor's hash is the least of its window, so its high bits are small: mix before dealing.
+            mixed = (k ^ k >> _U(29)) * _U(0xBF58476D1CE4E5B9)
+            where = ((mixed >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
+            order = np.argsort(where, kind="stable")
+            k, r, o, c, where = k[order], r[order], o[order], c[order], where[order]
             edges = np.flatnonzero(np.r_[True, where[1:] != where[:-1]]) if len(k) else np.zeros(0, np.int64)
             for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(k)]):
                 # 48 of the hash's bits, besides those that chose the bucket: enough for a sieve.
