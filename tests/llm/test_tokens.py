@@ -115,3 +115,14 @@ def test_pack_sequences(spark, texts, none):
     got = packing.pack_sequences(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), FILE).collect()
     check([tuple(r) for r in got], {i: np.array([*own.encode(t or "", add_special_tokens=False).ids, 0], np.uint32) for i, t in rows})
     assert packing.pack_sequences(none, FILE).count() == 0
+
+
+def test_latin_pattern():
+    import regex
+
+    own, fast = regex.compile(public_tokenizers.PATTERN), bpe.latin(public_tokenizers.PATTERN)
+    rng = random.Random(5)
+    for _ in range(3000):
+        text = "".join(chr(rng.choice((rng.randrange(256), 32, 39, 115))) for _ in range(rng.randint(0, 40)))
+        assert own.findall(text) == fast.findall(text)
+    assert bpe.latin(r"\d+") is None

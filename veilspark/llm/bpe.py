@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 from collections.abc import Iterator
 from hashlib import sha256
 from struct import pack
@@ -26,6 +27,30 @@ _ALL = (1 << 64) - 1
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded binary"
 
 
+def latin(pattern: str) -> re.Pattern | None:
+    """The same pattern for texts of Latin-1, with \\p{L}, \\p{N}, \\s and \\S spelled out, which is faster; None if it holds other escapes."""
+    import regex
+
+    every = "".join(map(chr, range(256)))
+    own = {x: "".join(f"\\x{ord(c):02x}" for c in regex.findall(x, every)) for x in (r"\p{L}", r"\p{N}", r"\s")}
+    out, inside, i = [], False, 0
+    while i < len(pattern):
+        name = next((x for x in (*own, r"\S") if pattern.startswith(x, i)), None)
+        if name == r"\S":
+            if inside:
+                return None
+            out.append("[^" + own[r"\s"] + "]")
+        elif name:
+            out.append(own[name] if inside else f"[{own[name]}]")
+        elif pattern[i] == "\\":
+            return None
+        else:
+            inside = True if pattern[i] == "[" else False if pattern[i] == "]" else inside
+            out.append(pattern[i])
+        i += len(name or "x")
+    return re.compile("".join(out))
+
+
 class PerfectHash:
     """A minimal perfect hash of byte strings: each key has a place of its own in 0 .. n - 1.
 
@@ -85,6 +110,7 @@ class Codec:
         self.hash = PerfectHash(list(self.ranks))
         self.at = np.array([self.ranks[k] for k in self.hash.key], np.uint32)
         self.find = regex.compile(pattern)
+        self.find_latin = latin(pattern) or self.find
         self.seen: dict[str, bytes] = {}
 
     def merge(self, word: bytes) -> list[int]:
@@ -119,7 +145,11 @@ class Codec:
             seen[w] = whole[4 * i : 4 * i + 4] if key[p] == r else pack(f"<{len(ids := self.merge(r))}I", *ids)
 
     def encode(self, text: str) -> bytes:
-        words = self.find.findall(text)
+        try:
+            text.encode("latin-1")
+            words = self.find_latin.findall(text)
+        except UnicodeEncodeError:
+            words = self.find.findall(text)
         if len(self.seen) > MEMORY:
             self.seen.clear()
         seen = self.seen
