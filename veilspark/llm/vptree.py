@@ -10,7 +10,6 @@ Every shard meets every block of the stated query set, as keyed groups and witho
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
