@@ -347,8 +347,8 @@ ORACLE_SQL: dict[str, str] = {
         WHERE event_type = 'view'""",
     "mapping_sessions": f"SELECT user_id, CAST(session AS BIGINT) AS session, min(us) AS first_us, max(us) AS last_us, count(*) AS n_events FROM ({sessions('events', 'user_id', P.TTL_MINUTES)}) GROUP BY ALL",
     "mapping_state": _STATE,
-    "orphan_mappings": "SELECT user_id, count(*) AS n FROM events WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id) GROUP BY user_id",
-    "kept_mappings": "SELECT user_id, count(*) AS n FROM events WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id) GROUP BY user_id",
+    "orphan_mappings": "SELECT user_id, count(*) AS n FROM events WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id AND c_acctbal >= 0) GROUP BY user_id",
+    "kept_mappings": "SELECT user_id, count(*) AS n FROM events WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id AND c_acctbal >= 0) GROUP BY user_id",
     "best_entity": f"""
         SELECT doc_id, entity_key, category, span_start
         FROM (SELECT doc_id, lower(v) AS entity_key, category, s AS span_start, row_number() OVER (PARTITION BY doc_id, lower(v) ORDER BY CASE WHEN category = 'credit_card' THEN 1 ELSE 2 END DESC, CASE WHEN category = 'credit_card' THEN 0.5 ELSE 0 END DESC, s, pass) AS r
