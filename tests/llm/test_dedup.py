@@ -42,6 +42,14 @@ def test_exact_dedup_keeps_one(spark):
     assert sorted(r.doc_id for r in exact_dedup.exact_dedup(df).collect()) == list(range(7))
 
 
+def test_exact_dedup_of_repeated_ids(spark, docs, none):
+    rows = [(1, "a"), (1, "b"), (2, "b"), (3, "b "), (4, "c"), (4, "c"), (None, "a"), (5, None), (6, "")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, kept string")
+    out = exact_dedup.exact_dedup(df)
+    # 3 has the longest text of the group b, 5 is the smallest of the empty ones; 1 stays for its other row.
+    assert out.columns == df.columns and sorted(str((r.doc_id, r.text)) for r in out.collect()) == sorted(map(str, [(1, "a"), (1, "b"), (3, "b "), (4, "c"), (4, "c"), (None, "a"), (5, None)]))
+
+
 def test_negative_and_large_ids(spark):
     rows = [(-5, "a"), (3, "a"), (2**62, "b"), (-(2**63), "b"), (None, "b")]
     got = {r.doc_id: r.keep_id for r in exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

@@ -70,6 +70,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_groups drops."""
+    """docs without the documents that exact_groups drops.
+
+    Rows that repeat a doc_id are one document, which stays if one of its rows does.  Rows without a
+    doc_id can't be named and stay.  All columns pass through; an empty table gives an empty one.
+    """
     groups = exact_groups(docs, id_col, text_col)
-    return without_ids(docs, stage(groups.filter(~F.col("kept")).select("doc_id")), id_col)
+    gone = groups.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).filter(~F.col("kept")).select("doc_id")
+    return without_ids(docs, stage(gone), id_col)
