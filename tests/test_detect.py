@@ -63,7 +63,7 @@ def test_validators(spark, value, rule, good):
 TRIAGE = {
     "safe_skip_ai": ["Please summarize this.", "Bitte kurz zusammenfassen", "Hello, how are you today? This is a long sentence.", "", "   "],
     "needs_ai": ["Max Mustermann", "Musterstraße 12", "10115 Berlin", "Beispiel GmbH", "Patient ID A-12345", "Kunde: Alex Weber", "Contact max@test.de before sending the final answer.", "Born 15.03.1985", "x" * 601, "a\nb\nc\nd\ne\nf\ng"],
-    "deterministic_only": ["Email: max@test.de", "Tel: +49 170 1234567", "IBAN DE89 3704 0044 0532 0130 00", "Card 4111 1111 1111 1111"],
+    "deterministic_only": ["4501042323994846 Anth, it +1 (984) 555-5227 of 224.228.19.86 thon.", "Email: max@test.de", "Tel: +49 170 1234567", "IBAN DE89 3704 0044 0532 0130 00", "Card 4111 1111 1111 1111"],
 }
 
 

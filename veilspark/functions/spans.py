@@ -90,7 +90,8 @@ def splice(text: Column, spans: Column, value) -> Column:
 
 def blank(text: Column, spans: Column) -> Column:
     """text with each valid span overwritten by spaces; its length stays."""
-    valid = F.array_sort(F.filter(spans, lambda s: (s["start"] >= 0) & (s["end"] > s["start"]) & (s["end"] <= F.length(text))))
+    whole_in = F.filter(spans, lambda s: (s["start"] >= 0) & (s["end"] > s["start"]) & (s["end"] <= F.length(text)))
+    valid = F.array_sort(F.transform(whole_in, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(a: Column, x: Column) -> Column:

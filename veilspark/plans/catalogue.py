@@ -20,6 +20,7 @@ from ..operators import gates as G
 from ..operators import mask as M
 from ..operators import model
 from ..operators import resolve as R
+from ..session import spread
 from ..sources import tables
 from ..streaming import mappings as L
 from . import corpus, report
@@ -53,7 +54,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    """(id, text) of a table of texts."""
+    """(id, text) of a table of texts, over all cores."""
+    return spread(_plain_texts(spark, sf_dir, name))
+
+
+def _plain_texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name == "pages":
         return table(spark, sf_dir, name).select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
     if name == "conversations":
@@ -108,7 +113,7 @@ MODEL_SPANS = (("B-private_person", 3, 17, 0.9), ("private_address", 10, 30, 0.8
 
 
 def category_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     own = D.with_entities(docs, dedupe=False).select("lang", F.explode("entities").alias("e"))
     return own.groupBy("lang", M.mask_category(F.col("e.category")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -119,7 +124,7 @@ def document_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pii_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = D.with_entities(table(spark, sf_dir, "documents").select("source", "text"))
+    own = D.with_entities(spread(table(spark, sf_dir, "documents").select("source", "text")))
     return own.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.count_if(F.size("entities") > 0).alias("docs_with_pii"), F.sum(F.size("entities")).cast("long").alias("n_entities"))
 
 

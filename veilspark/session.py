@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -23,3 +23,12 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(str(file))
         _SHIPPED.add(sc.applicationId)
     return spark
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, if its files make fewer: a file of one row group is one task.
+
+    Inputs with more partitions than cores, all large ones, pass as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
