@@ -351,11 +351,11 @@ def _send_texts(buckets: int):
         def flush() -> Iterator[pa.RecordBatch]:
             sure: dict[tuple[int, int], list] = defaultdict(list)
             by: dict[int, list] = defaultdict(list)
-            for text, (bucket, places) in seen.items():
+            for text, (key, places) in seen.items():
                 least = min(places)[0]
                 for doc, h, start in places:
                     if doc == least:
-                        by[bucket].append((text, doc, h, start))
+                        by[key % buckets].append((text, doc, h, start, key & 0xFFFFFFFF))
                     else:
                         # All of it stands in a smaller document of this very block.
                         sure[doc, h].append((start, start + len(text)))
@@ -380,7 +380,7 @@ def _send_texts(buckets: int):
                         own = raw[s:e]
                         size += e - s
                         if (at := seen.get(own)) is None:
-                            seen[own] = [(xxhash.xxh3_64_intdigest(own) if w else k) % buckets, [(doc, h, s)]]
+                            seen[own] = [xxhash.xxh3_64_intdigest(own) if w else k, [(doc, h, s)]]
                         else:
                             at[1].append((doc, h, s))
                 if size >= BLOCK_BYTES:
@@ -396,19 +396,19 @@ def _pack_runs(runs: list[tuple[int, int]]) -> bytes:
     return pack(np.ascontiguousarray(x[:, 0]), np.ascontiguousarray(x[:, 1]))
 
 
-def _pack_entries(entries: list[tuple[bytes, int, int, int]]) -> bytes:
-    text, doc, h, start = zip(*entries)
-    head = pack(np.array([len(t) for t in text], np.uint16), np.array(doc, np.int64).view(_U), np.array(h, np.int32).view(np.uint32), np.array(start, np.uint32))
+def _pack_entries(entries: list[tuple[bytes, int, int, int, int]]) -> bytes:
+    text, doc, h, start, key = zip(*entries)
+    head = pack(np.array([len(t) for t in text], np.uint16), np.array(doc, np.int64).view(_U), np.array(h, np.int32).view(np.uint32), np.array(start, np.uint32), np.array(key, np.uint32))
     return struct.pack("<I", len(head)) + head + zstandard.ZstdCompressor(1).compress(b"".join(text))
 
 
-def _unpack_entries(data: bytes) -> Iterator[tuple[bytes, int, int, int]]:
+def _unpack_entries(data: bytes) -> Iterator[tuple[bytes, int, int, int, int]]:
     (n,) = struct.unpack_from("<I", data)
-    size, doc, h, start = unpack(data[4 : 4 + n])
+    size, doc, h, start, key = unpack(data[4 : 4 + n])
     text = zstandard.ZstdDecompressor().decompress(data[4 + n :])
     at = 0
-    for s, d, x, b in zip(size.tolist(), doc.view(np.int64).tolist(), h.view(np.int32).tolist(), start.tolist()):
-        yield text[at : at + s], d, x, b
+    for s, d, x, b, k in zip(size.tolist(), doc.view(np.int64).tolist(), h.view(np.int32).tolist(), start.tolist(), key.tolist()):
+        yield text[at : at + s], d, x, b, k
         at += s
 
 
@@ -420,9 +420,11 @@ def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         found: dict[tuple[int, int], list] = defaultdict(list)
         seen: dict[bytes, list] = {}
+        groups: dict[int, list[int]] = defaultdict(list)
         for _, _, _, data in rows:
-            for text, doc, h, start in _unpack_entries(data):
+            for text, doc, h, start, key in _unpack_entries(data):
                 if (at := seen.get(text)) is None:
+                    groups[key].append(len(seen))
                     seen[text] = [(doc, h, start)]
                 else:
                     at.append((doc, h, start))
@@ -435,7 +437,7 @@ def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts.append(text)
             docs.append(least)
             places.append([(doc, h, start) for doc, h, start in at if doc == least])
-        for part in _parts(texts):
+        for part in _parts(texts, groups):
             own = repeated([texts[i] for i in part], np.array([docs[i] for i in part], np.int64))
             for j, a, b in zip(*(x.tolist() for x in own)):
                 for doc, h, start in places[part[j]]:
@@ -444,25 +446,16 @@ def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _rows(_RUNS, [(doc, h, _pack_runs(runs)) for (doc, h), runs in found.items()])
 
 
-def _parts(texts: list[bytes]) -> Iterator[list[int]]:
-    """Indices of texts, in groups that fit one array and that keep texts with an equal window together."""
-    if sum(map(len, texts)) + len(texts) <= ARRAY_BYTES:
-        if texts:
-            yield list(range(len(texts)))
-        return
-    # Texts that share an anchor may share windows: group by the anchors' hashes, in as many parts as needed.
-    by: dict[int, list[int]] = defaultdict(list)
-    for i, t in enumerate(texts):
-        key, _, _ = anchors(t)
-        by[int(key[0])].append(i)
+def _parts(texts: list[bytes], groups: dict[int, list[int]]) -> Iterator[list[int]]:
+    """Indices of texts, in parts that fit one array; texts that could share a window, which share an anchor, stay together.
+
+    A text that is the only one of its anchor shares none and is left out.
+    """
     held, size = [], 0
-    for group in by.values():
-        n = sum(len(texts[i]) + 1 for i in group)
-        if n > ARRAY_BYTES:
-            # More than HOT texts: windows that travel one by one, all different, so none equals another.
-            step = ARRAY_BYTES // (WINDOW + 1)
-            yield from (group[a : a + step] for a in range(0, len(group), step))
+    for group in groups.values():
+        if len(group) < 2:
             continue
+        n = sum(len(texts[i]) + 1 for i in group)
         if held and size + n > ARRAY_BYTES:
             yield held
             held, size = [], 0
