@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import ship, spread
 
 #: A key is hot when it holds at least this share of all rows, so there are at most 1 / HOT_SHARE hot keys.
 HOT_SHARE = 1e-3
@@ -26,7 +26,9 @@ def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the folder; documents and pages over all cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages") else df
 
 
 def stage(df: DataFrame) -> DataFrame:
