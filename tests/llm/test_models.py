@@ -107,6 +107,7 @@ def test_evidence_decides_where_text_is_silent(spark):
         ("<form>f</form><div role=navigation>n</div><div hidden>h</div><style>p{}</style><p>ok", "ok"),
         ("<p>&#233;&eacute;&nope; &amp", "éé&nope; &"),
         ("<title>t</title><textarea>x</textarea></p></div>rest", "rest"),
+        ("<div class='page with-sidebar'><p>kept</p><div class='sidebar'>s</div></div>", "kept"),
         ("<main><p>m</p></main><footer>f</footer>", "m"),
     ],
 )

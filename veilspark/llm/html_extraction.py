@@ -44,6 +44,7 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "d
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion outbrain taboola nav navbar navigation menu breadcrumb breadcrumbs topbar toolbar header masthead footer sidebar side aside rail widget related recommended trending popular share sharing social cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search searchbox comment comments comentarios kommentare commentaires disqus respond replies reply discussion copyright legal skip pagination pager complementary contentinfo".split()
 )
+ABOUT = (["has"], ["with"], ["no"], ["without"], ["not"])
 _WORDS = re.compile(r"[a-z]+|\d+")
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*>|[^>]*(?:>|\Z))", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?", re.S)
@@ -59,7 +60,8 @@ def _named(attrs: str) -> tuple[str, bool]:
     for value in (got.get("class"), got.get("id"), got.get("role")):
         for part in (value or "").split():
             words = _WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", part).lower())
-            out = out or any(w in NAMES for w in words)
+            # "with-sidebar" names what stands beside the article, not what isn't it.
+            out = out or (words[:1] not in ABOUT and any(w in NAMES for w in words))
     return name, out
 
 
