@@ -23,12 +23,13 @@ from pyspark.sql import types as T
 
 from .common import HOT_LEAST, HOT_SHARE, small_batches, stage
 
-CUT_BITS = 5
-MIN_CHUNK = 4
+CUT_BITS = 4
+MIN_CHUNK = 12
 MAX_CHUNK = 256
 MIN_RUN = 80
-#: Rows of spans that may be broadcast to the documents (about 40 bytes each).
+#: Rows of spans, and numbers in them, that may be broadcast to the documents: 16 MB at most.
 BROADCAST_SPANS = 200_000
+BROADCAST_NUMBERS = 2_000_000
 
 
 def _gear() -> np.ndarray:
@@ -163,7 +164,8 @@ def dedup_substrings(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc
     """
     cut = spans(docs, min_run, id_col, text_col)
     cut = stage(cut.select(F.col("doc_id").alias("_cut_of"), F.col("runs").alias("_runs")))
-    few = cut.limit(BROADCAST_SPANS + 1).count() <= BROADCAST_SPANS
+    n_rows, numbers = cut.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_runs")), F.lit(0))).first()
+    few = n_rows <= BROADCAST_SPANS and numbers <= BROADCAST_NUMBERS
     joined = docs.join(F.broadcast(cut) if few else cut, docs[id_col].cast("long") == cut._cut_of, "left").drop("_cut_of")
     names = docs.columns
     text = names.index(text_col)
