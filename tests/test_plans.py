@@ -71,7 +71,7 @@ def test_stream_of_texts(spark, tmp_path):
     from veilspark.operators.mask import mask
 
     spark.createDataFrame([(1, "mail max@test.de now"), (2, "x")], "doc_id long, text string").write.parquet(str(tmp_path / "in"))
-    stream = S.read_texts(spark, str(tmp_path / "in"), "doc_id long, text string")
+    stream = S.read_files(spark, str(tmp_path / "in"), "doc_id long, text string")
     S.write_batches(stream, str(tmp_path / "out"), str(tmp_path / "c"), lambda df: mask(df).select("doc_id", "output_text")).awaitTermination(120)
     assert [r.output_text for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["mail <PRIVATE_EMAIL> now"]
 

@@ -23,6 +23,7 @@ from ..operators import resolve as R
 from ..session import spread
 from ..sources import tables
 from ..streaming import mappings as L
+from ..streaming.texts import read_files
 from . import corpus, report
 
 #: Texts of every pass and edge of the detector; the tables hold no IBAN and no IPv6 address.
@@ -47,7 +48,10 @@ FIXTURE = (
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table; its timestamps without a zone are taken as UTC, whatever the session's zone."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return _instants(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def _instants(df: DataFrame) -> DataFrame:
     instant = "timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{}`))"
     bare = [c for c, kind in df.dtypes if kind == "timestamp_ntz"]
     return df.withColumns({c: F.expr(instant.format(c)) for c in bare}) if bare else df
@@ -254,9 +258,9 @@ def mapping_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", F.col("session").cast("long").alias("session"), micros("first_ts").alias("first_us"), micros("last_ts").alias("last_us"), "n_events")
 
 
-def _mapping_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _mapping_events(events: DataFrame) -> DataFrame:
     """Events as writes and clearings of mappings: purchases clear a user's, errors count for nothing."""
-    e = table(spark, sf_dir, "events").filter("event_type <> 'error'")
+    e = events.filter("event_type <> 'error'")
     kind = F.when(F.col("event_type") == "purchase", "clear").otherwise("write")
     return e.select(F.col("user_id").cast("string").alias("key"), "ts", kind.alias("kind"), F.concat(F.lit("fake"), (F.col("event_id") % 5).cast("string")).alias("fake"), F.col("event_id").cast("string").alias("original"))
 
@@ -266,10 +270,18 @@ MOMENT = "2024-01-20 12:00:00"
 
 def mapping_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the store holds at a moment, with a time to live of three days for these sparse events."""
-    out = L.state_at(_mapping_events(spark, sf_dir), F.lit(MOMENT + "Z").cast("timestamp"), 3 * 24 * 60)
+    out = L.state_at(_mapping_events(table(spark, sf_dir, "events")), F.lit(MOMENT + "Z").cast("timestamp"), 3 * 24 * 60)
     return out.select("key", "fake", "original", micros("touched_at").alias("touched_us"))
 
 
+def mapping_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same store as a stream over the events, run to its end: how many mappings each write or clearing leaves a key."""
+    path = f"{sf_dir}/events.parquet"
+    events = _mapping_events(_instants(read_files(spark, path, spark.read.parquet(path).schema)))
+    out = L.run_to_end(L.stream(events, 3 * 24 * 60))
+    return out.filter("action <> 'expired'").select("key", F.unix_micros("ts").alias("us"), "action", F.col("n").cast("long").alias("n"))
+
+
 def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers that aren't overdrawn stand for the keys that live."""
     return table(spark, sf_dir, "customer").filter("c_acctbal >= 0")
@@ -438,6 +450,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "copy_controls": copy_controls,
     "mapping_sessions": mapping_sessions,
     "mapping_state": mapping_state,
+    "mapping_stream": mapping_stream,
     "orphan_mappings": orphan_mappings,
     "kept_mappings": kept_mappings,
     "best_entity": best_entity,

@@ -8,6 +8,8 @@ touch it.  The batch plan gives the state at a moment; the stream keeps it in a
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,6 +20,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..functions.patterns import TTL_MINUTES
 from ..functions.validators import micros
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 OUT = "key string, ts timestamp, action string, n int, mappings string"
 
 
@@ -121,3 +124,24 @@ def stream(events: DataFrame, minutes: int = TTL_MINUTES, late: str = "10 minute
     """
     own = events.withWatermark("ts", late)
     return own.groupBy("key").transformWithStateInPandas(MappingStore(minutes), outputStructType=OUT, outputMode="Update", timeMode="EventTime")
+
+
+def run_to_end(changes: DataFrame) -> DataFrame:
+    """The rows of a streaming plan once it has read all there is, from a folder that all machines share.
+
+    The state store is RocksDB for the time of the run, which map state and timers need.
+    """
+    spark = changes.sparkSession
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="stream-")
+    folder = f"{shared}/stream-{uuid.uuid4().hex}"
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    try:
+        changes.writeStream.option("checkpointLocation", f"{folder}/state").outputMode("update").trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
+    finally:
+        spark.conf.set(_PROVIDER, before)
+    return spark.read.schema(OUT).parquet(f"{folder}/rows")

@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from ..operators.gates import should_scan
 
 
-def read_texts(spark: SparkSession, path: str, schema: str, per_trigger: int = 100) -> DataFrame:
-    """Files of a folder as a stream, in the order of their arrival."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
+def read_files(spark: SparkSession, path: str, schema: str | StructType, per_trigger: int = 100) -> DataFrame:
+    """Parquet files as a stream, in the order of their arrival: those of a folder, or a single one."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder = own.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(own).isDirectory()
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger)
+    # A stream reads folders only, so a single file is its folder's one file of that name.
+    return reader.parquet(path) if folder else reader.option("pathGlobFilter", own.getName()).parquet(str(own.getParent().toString()))
 
 
 def write_batches(df: DataFrame, path: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame], text_col: str = "text") -> StreamingQuery:
