@@ -293,6 +293,12 @@ _STATE = f"""
     c AS (SELECT key, max(epoch_us(ts)) AS cleared FROM e WHERE kind = 'clear' GROUP BY key)
     SELECT l.key, fake, max_by(original, us) AS original, max(touched_us) AS touched_us FROM l LEFT JOIN c ON l.key = c.key
     WHERE session = last_session AND {_MOMENT} - touched_us <= {_TTL * 60_000_000} AND (cleared IS NULL OR us > cleared) GROUP BY l.key, fake"""
+_STREAM = f"""
+    WITH c AS (SELECT *, epoch_us(ts) // 1000 AS ms, sum(CASE WHEN kind = 'clear' THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY ts) AS clears,
+                      max(CASE WHEN kind = 'write' THEN epoch_us(ts) // 1000 END) OVER (PARTITION BY key ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_ms FROM {_EVENTS}),
+    g AS (SELECT *, sum(CASE WHEN kind = 'write' AND ms - last_ms > {_TTL * 60_000} THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY ts) AS gaps FROM c),
+    f AS (SELECT *, CASE WHEN kind = 'write' AND row_number() OVER (PARTITION BY key, clears, gaps, kind, fake ORDER BY ts) = 1 THEN 1 ELSE 0 END AS fresh FROM g)
+    SELECT key, ms * 1000 AS us, kind AS action, CAST(CASE kind WHEN 'clear' THEN 0 ELSE sum(fresh) OVER (PARTITION BY key, clears, gaps ORDER BY ts) END AS BIGINT) AS n FROM f"""
 _SIZES = values(corpus.SIZES, "size_label", "n")
 _VARIANTS = values([(v,) for v in corpus.VARIANTS], "variant")
 _MEASURES = values([("background", 70), ("paste", 110)], "measurement", "base")
@@ -347,6 +353,7 @@ ORACLE_SQL: dict[str, str] = {
         WHERE event_type = 'view'""",
     "mapping_sessions": f"SELECT user_id, CAST(session AS BIGINT) AS session, min(us) AS first_us, max(us) AS last_us, count(*) AS n_events FROM ({sessions('events', 'user_id', P.TTL_MINUTES)}) GROUP BY ALL",
     "mapping_state": _STATE,
+    "mapping_stream": _STREAM,
     "orphan_mappings": "SELECT user_id, count(*) AS n FROM events WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id AND c_acctbal >= 0) GROUP BY user_id",
     "kept_mappings": "SELECT user_id, count(*) AS n FROM events WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id AND c_acctbal >= 0) GROUP BY user_id",
     "best_entity": f"""
