@@ -61,6 +61,11 @@ def _long(batches: Iterator[pa.RecordBatch], text_at: int, names: list[str], ded
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, kind)], names=[*names, "entities"])
 
 
+def has_long_run(text: Column) -> Column:
+    """Whether a text must go through Python; most are too short to need the search."""
+    return F.coalesce((F.length(text) >= 1000) & text.rlike(P.LONG_RUN), F.lit(False))
+
+
 def with_entities(df: DataFrame, text_col: str = "text", dedupe: bool = True) -> DataFrame:
     """df with a column entities (array of ENTITY; empty for null texts).
 
@@ -68,7 +73,7 @@ def with_entities(df: DataFrame, text_col: str = "text", dedupe: bool = True) ->
     those rows alone go through Python in Arrow batches.
     """
     text = F.col(text_col)
-    long = F.coalesce(text.rlike(P.LONG_RUN), F.lit(False))
+    long = has_long_run(text)
     plain = S.once(df.filter(~long), entities=F.coalesce(entities(text, dedupe), F.array().cast(f"array<{ENTITY}>")))
     names, at = df.columns, df.columns.index(text_col)
     rest = df.filter(long).mapInArrow(lambda batches: _long(batches, at, names, dedupe), plain.schema)
