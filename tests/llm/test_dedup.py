@@ -153,6 +153,39 @@ def test_near_dedup(spark):
     assert kept == groups
 
 
+def shingle_set(text, k=5):
+    w = text.split()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+
+
+@pytest.mark.parametrize("piece", [simhash.PIECE, 20_000])
+def test_near_dedup_decides_by_the_sets(spark, piece):
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    rows: list[tuple[int | None, str]] = []
+    for g in range(150):
+        words = rng.choices(vocabulary, k=rng.randint(100, 300))
+        rows.append((len(rows), " ".join(words)))
+        for _ in range(1 + 30 * (g == 0)):  # one block of changed words; the first group is a large one
+            n = round(len(words) * rng.choice([0.03, 0.06, 0.13, 0.17, 0.2, 0.25]))
+            at = rng.randrange(len(words) - n)
+            rows.append((len(rows), " ".join(words[:at] + rng.choices(vocabulary, k=n) + words[at + n :])))
+    sets = [shingle_set(t) for _, t in rows]
+    root = list(range(len(rows)))
+    seen = []
+    for a in range(len(rows)):
+        for b in range(a):
+            if both := len(sets[a] & sets[b]):
+                j = both / len(sets[a] | sets[b])
+                seen.append(j)
+                if j >= 0.8:
+                    x, y = sorted((root[a], root[b]))
+                    root = [x if r == y else r for r in root]
+    assert sum(0.6 <= j < 0.8 for j in seen) > 50 and sum(0.8 <= j < 0.95 for j in seen) > 50
+    got = simhash.near_dedup(spark.createDataFrame([*rows, (None, rows[0][1])], "doc_id long, text string").repartition(3), piece=piece)
+    assert sorted(r.doc_id for r in got.collect() if r.doc_id is not None) == sorted(set(root)) and got.filter("doc_id is null").count() == 1
+
+
 # -- chunks --------------------------------------------------------------------------------------
 
 

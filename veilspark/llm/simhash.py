@@ -10,6 +10,8 @@ its groups share a block.  That loses no link.  A block of more than BLOCK diffe
 split by the same rule over its remaining bits until it fits; BLOCK bounds what a task holds.
 Links inside a block are reported as one star per connected set.  The stars are merged by alternating
 large-star and small-star steps, all of them joins and aggregations on (id, id) rows.
+
+near_dedup takes such links as candidates only and decides by the shingle sets themselves.
 """
 
 from __future__ import annotations
@@ -22,10 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, small_batches, stage, without_ids
+from .common import BROADCAST_IDS, lookup, small_batches, stage, without_ids
 
 KEPT = 3
 BLOCK = 1 << 15
+#: Names of nodes without any doc_id begin here.
+NAMELESS = 2**63 - 1 - 2**40
+#: Bytes of shingle sets that a task compares with as many others.
+PIECE = 1 << 23
+#: Candidates that came together over others are compared if they differ in so many bits more.
+SLACK = 16
 _EMPTY = np.zeros(0, np.uint64)
 _FULL = np.uint64(2**64 - 1)
 
@@ -280,9 +288,14 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3, seed: i
     """
     fps = [f"fp{i}" for i in range(more)]
     rows = stage(fingerprints(docs, words, seed, more, bands, id_col, text_col, distinct))
+    names, edges = _candidates(rows, fps, radius, bands, block)
+    return _named(rows, fps, names, components(edges))
+
+
+def _candidates(rows: DataFrame, fps: list[str], radius: int, bands: tuple[int, int] | None, block: int) -> tuple[DataFrame, DataFrame]:
+    """(fp0 .., node, n), one row per fingerprint, and the stars (a, b) of linked nodes."""
     # Copies of a fingerprint are one node, named by its smallest doc_id; nodes without any doc_id get a name beyond them.
-    last = 2**63 - 1 - 2**40
-    node = F.coalesce(F.min("doc_id"), F.lit(last) + F.xxhash64(*fps).bitwiseAND(F.lit(2**40 - 1))).alias("node")
+    node = F.coalesce(F.min("doc_id"), F.lit(NAMELESS) + F.xxhash64(*fps).bitwiseAND(F.lit(2**40 - 1))).alias("node")
     nodes = rows.groupBy(*fps, *(["keys"] if bands else [])).agg(node, F.count(F.lit(1)).alias("n"))
     if bands:
         # One fingerprint may come with several sketches; all its nodes are one by the fingerprint itself.
@@ -290,18 +303,20 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3, seed: i
         names = nodes.groupBy(*fps).agg(F.min("node").alias("node"), F.sum("n").alias("n"))
         blocks = nodes.select(F.explode("keys").alias("block"), *fps, "n").groupBy("block", *fps).agg(F.sum("n").alias("n"))
         blocks = blocks.join(names.select(*[F.col(f).alias(f"_{f}") for f in fps], "node"), [F.col(f) == F.col(f"_{f}") for f in fps]).select("block", "node", *fps)
-        tables = None
     else:
         nodes = names = stage(nodes)
-        cuts = _cuts(64 * more, radius + KEPT)
+        cuts = _cuts(64 * len(fps), radius + KEPT)
         tables = [tuple(c) for c in combinations(range(len(cuts)), KEPT)]
         keys = F.array(*[F.xxhash64(F.lit(i), *[_bits(fps, *cuts[c]) for c in t]) for i, t in enumerate(tables)])
         blocks = nodes.select(F.explode(keys).alias("block"), "node", *fps)
-    edges = _edges(blocks, fps, radius, block)
-    found = components(edges)
+    return names, _edges(blocks, fps, radius, block)
+
+
+def _named(rows: DataFrame, fps: list[str], names: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, fp0 .., component_id of each row, from the roots found for the nodes."""
     keyed = stage(names.join(found, "node", "left").select(F.concat_ws(",", *fps).alias("key"), "n", F.coalesce("root", "node").alias("component_id")))
     out = lookup(rows.select("doc_id", *fps, F.concat_ws(",", *fps).alias("key")), keyed, "key", "n", ["component_id"])
-    return out.select("doc_id", *fps, F.when(F.col("component_id") < last, F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", *fps, F.when(F.col("component_id") < NAMELESS, F.col("component_id")).alias("component_id"))
 
 
 def _edges(blocks: DataFrame, fps: list[str], radius: int, block: int) -> DataFrame:
@@ -326,13 +341,97 @@ def _edges(blocks: DataFrame, fps: list[str], radius: int, block: int) -> DataFr
     return out
 
 
-def near_dedup(docs: DataFrame, words: int = 5, more: int = 4, radius: int = 44, bands: tuple[int, int] = (15, 4), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+# -- near-duplicates by the shingle sets themselves ------------------------------------------------
+
+
+def alike(ids: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], radius: int, least: float) -> list[tuple[int, int]]:
+    """Stars (id, smaller id) that connect the sets whose Jaccard similarity is at least `least`; sets are sorted, fps within radius + SLACK."""
+    order = np.argsort(ids, kind="stable")
+    ids, fps, sets = ids[order], fps[order], [sets[i] for i in order.tolist()]
+    size = np.array([len(x) for x in sets])
+    of = np.arange(len(ids))
+    for i in range(len(ids) - 1):
+        rest = np.flatnonzero(of[i + 1 :] != of[i]) + i + 1
+        low, high = np.minimum(size[rest], size[i]), np.maximum(size[rest], size[i])
+        rest = rest[low >= least * high - 1e-9]
+        rest = rest[np.bitwise_count(fps[rest] ^ fps[i]).sum(axis=1) <= radius + SLACK]
+        for at in range(0, len(rest), 256):
+            some = rest[at : at + 256]
+            some = some[of[some] != of[i]]
+            if not len(some):
+                continue
+            if size[i]:
+                flat = np.concatenate([sets[j] for j in some.tolist()])
+                hit = sets[i][np.minimum(np.searchsorted(sets[i], flat), size[i] - 1)] == flat
+                both = np.add.reduceat(hit.astype(np.int64), np.r_[0, np.cumsum(size[some])[:-1]])
+            else:
+                both = np.zeros(len(some), np.int64)
+            # Equal sets are alike, empty ones too.
+            near = some[both >= least * (size[some] + size[i] - both) - 1e-9]
+            if len(near):
+                joined = np.unique(np.r_[of[i], of[near]])
+                of[np.isin(of, joined)] = joined[0]
+    return [(int(ids[x]), int(ids[r])) for x, r in enumerate(of.tolist()) if x != r]
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, words: int, more: int, id_col: str, text_col: str) -> DataFrame:
+    """key (of the fingerprint) and set (its sorted shingle hashes) of the documents that name nodes, and of those without an id if any node is nameless."""
+    out = pa.schema([("key", pa.string()), ("set", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                own = [np.unique(shingle_hashes(t or "", words, 42)) for t in batch.column(1).slice(at, 256).to_pylist()]
+                keys = [",".join(map(str, np.array(fingerprint(h, more), np.uint64).view(np.int64).tolist())) for h in own]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([h.tobytes() for h in own], pa.binary())], schema=out)
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    ids = nodes.filter(F.col("node") < NAMELESS).select(F.col("node").alias("_node"))
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    own = rows.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("_node"), "left_semi")
+    if nodes.filter(F.col("node") >= NAMELESS).limit(1).count():
+        own = own.unionByName(rows.filter("doc_id is null"))
+    return small_batches(own).mapInArrow(run, "key string, set binary")
+
+
+def _confirmed(docs: DataFrame, fps: list[str], names: DataFrame, edges: DataFrame, words: int, radius: int, least: float, piece: int, id_col: str, text_col: str) -> DataFrame:
+    """Stars (a, b) over the pairs of each set of candidates whose shingle sets are alike.
+
+    Candidates that are linked, directly or not, meet with their sets.  If those take more than `piece`
+    bytes they are dealt into pieces, each two of which meet in a task of their own.
+    """
+    found = stage(components(edges))
+    roots = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+    nodes = stage(names.join(roots, "node").select("node", "root", *fps, F.concat_ws(",", *fps).alias("key")))
+    sets = _sets(docs, nodes, words, len(fps), id_col, text_col).groupBy("key").agg(F.max("set").alias("set"))
+    rows = stage(nodes.join(sets, "key").select("node", "root", *fps, "set"))
+    parts = rows.groupBy("root").agg(F.ceil((F.sum(F.length("set")) + F.lit(64) * F.count(F.lit(1))) / piece).cast("int").alias("parts")).withColumnRenamed("root", "_root")
+    dealt = rows.join(parts, F.col("root") == F.col("_root")).withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    others = F.when(F.col("parts") > 1, F.array_remove(F.sequence(F.lit(0), F.col("parts") - 1), F.col("p"))).otherwise(F.array(F.lit(0)))
+    tasks = dealt.withColumn("q", F.explode(others)).select("root", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "node", *fps, "set")
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(group: pa.Table) -> pa.Table:
+        bits = np.stack([group.column(f).to_numpy().view(np.uint64) for f in fps], axis=1)
+        got = alike(group.column("node").to_numpy(), bits, [np.frombuffer(x, np.uint64) for x in group.column("set").to_pylist()], radius, least)
+        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in zip(*got)], schema=out) if got else out.empty_table()
+
+    return tasks.groupBy("root", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def near_dedup(docs: DataFrame, words: int = 5, more: int = 4, radius: int = 56, bands: tuple[int, int] = (15, 4), least: float = 0.8, piece: int = PIECE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group of near-duplicates, the one of the smallest doc_id.
 
-    Two texts are near-duplicates when their 256-bit fingerprints over their sets of five-word shingles
-    differ in 44 bits at most; a Jaccard similarity of 0.8 differs in 39 on average, of 0.7 in 49.  They
-    meet in blocks by bands of a sketch of those sets: at 0.8 all but one pair in two thousand do.  Rows
-    with a null doc_id stay.
+    Two texts are near-duplicates when their sets of five-word shingles have a Jaccard similarity of
+    `least` or more; groups are the components over such pairs.  Candidates are found by 256-bit
+    fingerprints of those sets that differ in 56 bits at most (a similarity of 0.8 differs in 39 on
+    average, of 0.7 in 49) and meet in blocks by bands of a sketch: at 0.8 all but one pair in two
+    thousand do.  What is linked so is compared by the sets themselves, and only pairs that pass make
+    groups.  Equal fingerprints count as equal sets.  Rows with a null doc_id stay.
     """
-    rows = simhash_components(docs, words, radius, 42, more, bands, BLOCK, id_col, text_col, distinct=True)
-    return without_ids(docs, stage(rows.filter("doc_id <> component_id").select("doc_id")), id_col)
+    fps = [f"fp{i}" for i in range(more)]
+    rows = stage(fingerprints(docs, words, 42, more, bands, id_col, text_col, distinct=True))
+    names, edges = _candidates(rows, fps, radius, bands, BLOCK)
+    links = _confirmed(docs, fps, names, edges, words, radius, least, piece, id_col, text_col)
+    found = _named(rows, fps, names, components(links))
+    return without_ids(docs, stage(found.filter("doc_id <> component_id").select("doc_id")), id_col)
