@@ -1,0 +1,20 @@
+from __future__ import annotations
+
+import re
+from collections import defaultdict
+
+import corpus_pipeline
+
+
+def test_one_row_of_each_text_stays(spark, docs, texts, none):
+    """Whole files loaded twice, rows without ids and ids with several texts."""
+    extra = [(300, "twice"), (300, "twice"), (300, "other"), (301, "other "), (None, "no id"), (None, "no id"), (None, " no id"), (302, "single")]
+    rows = [*texts, *texts, *extra]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    by = defaultdict(list)
+    for d, t in rows:
+        by[re.sub("[\x20\x09-\x0d]", "", t or "")].append((-len(t or ""), float("inf") if d is None else d))
+    got = corpus_pipeline.drop_copies(spark, df, "").collect()
+    want = [min(own) for own in by.values()]
+    assert sorted((-len(r.text or ""), float("inf") if r.doc_id is None else r.doc_id) for r in got) == sorted(want)
+    assert corpus_pipeline.drop_copies(spark, docs, "").columns == docs.columns and corpus_pipeline.drop_copies(spark, none, "").count() == 0

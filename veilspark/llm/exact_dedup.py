@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, stage, without_ids
+from .common import BROADCAST_IDS, lookup, stage, without_ids
 
 SALTS = 16
 #: The white space that normalisation deletes.
@@ -54,11 +54,23 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Empty tables give empty results; other columns, whatever their names, are not looked at.
     """
     rows = _keyed(docs, id_col, text_col)
+    return _flagged(rows, _winners(rows))
+
+
+def _key() -> Column:
+    return F.concat_ws("/", "text_sha256", F.length("norm")).alias("key")
+
+
+def _winners(rows: DataFrame) -> DataFrame:
+    """key, best (rank of the row that stays) and size of each group."""
     best, size = F.max(_rank(F.col("n"), F.col("doc_id"))).alias("best"), F.count(F.lit(1)).alias("size")
     salted = rows.withColumn("salt", F.spark_partition_id() % SALTS).groupBy("text_sha256", "norm", "salt").agg(best, size)
     merged = salted.groupBy("text_sha256", "norm").agg(F.max("best").alias("best"), F.sum("size").alias("size"))
-    groups = stage(merged.select(F.concat_ws("/", "text_sha256", F.length("norm")).alias("key"), "best", "size"))
-    slim = rows.select("doc_id", "n", "text_sha256", F.concat_ws("/", "text_sha256", F.length("norm")).alias("key"))
+    return stage(merged.select(_key(), "best", "size"))
+
+
+def _flagged(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    slim = rows.select("doc_id", "n", "text_sha256", _key())
     found = lookup(slim, groups, "key", "size", ["best", "size"])
     return found.select(
         "doc_id",
@@ -78,3 +90,25 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     groups = exact_groups(docs, id_col, text_col)
     gone = groups.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).filter(~F.col("kept")).select("doc_id")
     return without_ids(docs, stage(gone), id_col)
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group of equal texts, whatever the ids: rows that repeat an id or have none are rows like others.
+
+    The row that stays is the one of exact_groups; of rows that share its id and length, any one.
+    """
+    rows = _keyed(docs, id_col, text_col)
+    groups = _winners(rows)
+    ids = stage(_flagged(rows, groups).groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n")).filter("not kept or n > 1 or doc_id is null"))
+    # An id of one row names that row.
+    named = without_ids(docs.filter(F.col(id_col).isNotNull()), ids.select("doc_id"), id_col)
+    shared = ids.filter("doc_id is not null and kept").select("doc_id")
+    if ids.filter("kept or doc_id is null").limit(1).count() == 0:
+        return named
+    few = shared.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    gone = shared.select(F.col("doc_id").alias("_shared"))
+    rest = docs.join(F.broadcast(gone) if few else gone, docs[id_col] == F.col("_shared"), "left_semi").unionByName(docs.filter(F.col(id_col).isNull()))
+    whole = rest.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    keyed = whole.withColumns({"n": F.length("_text"), "norm": F.translate("_text", SPACES, "")}).withColumn("text_sha256", F.sha2("norm", 256)).withColumn("key", _key()).select("row", "doc_id", "n", "key")
+    found = lookup(keyed, groups, "key", "size", ["best"]).filter(_rank(F.col("n"), F.col("doc_id")) == F.col("best"))
+    return named.unionByName(found.groupBy("key").agg(F.first("row").alias("row")).select("row.*"))
