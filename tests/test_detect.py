@@ -84,3 +84,19 @@ def test_gates(spark):
 def test_dialects_agree():
     for _, p in P.PASSES:
         assert P.B in p or p.startswith(r"(?:\+?")
+
+
+PADDED = " " * 1000 + " max@test.de, DE89370400440532013000, 4111 1111 1111 1111, 192.168.1.1, 2001:db8:1:2:3:4:5:6, 15.03.1985, +49 170 1234567."
+
+
+@pytest.mark.parametrize("name", ["detect_email", "detect_iban", "detect_card", "detect_ipv4", "detect_ipv6", "detect_date", "detect_phone", "best_entity"])
+def test_queries_keep_texts_with_long_runs(spark, tmp_path, name):
+    from veilspark.plans import catalogue
+
+    texts = [PADDED, PADDED[1000:], "\u00a0" * 1200, None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = catalogue.QUERIES[name](spark, str(tmp_path)).collect()
+    places = {i: sorted((r.span_start - (0 if i else 1000), r.entity_key if name == "best_entity" else r.value) for r in rows if r.doc_id == i) for i in range(4)}
+    assert places[0] == places[1] and places[0] and not places[2] and not places[3]
+    if name != "best_entity":
+        assert all(texts[r.doc_id][r.span_start : r.span_end] == r.value for r in rows)

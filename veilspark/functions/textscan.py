@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import calendar
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 from . import patterns as P
@@ -55,16 +56,22 @@ _VALID = (
 )
 
 
+def matches(text: str, number: int) -> Iterator[tuple[int, int, str]]:
+    """(start, end, value) of each valid match of a pass, trimmed, left to right."""
+    for m in _passes()[number][1].finditer(text):
+        lead = len(m[0]) - len(re.sub(f"^{P.WS}+", "", m[0]))
+        own = re.sub(f"{P.WS}+$", "", m[0][lead:])
+        if _VALID[number](own):
+            yield m.start() + lead, m.start() + lead + len(own), own
+
+
 def detect(text: str, dedupe: bool = True) -> list[tuple[str, str, int, int]]:
     """(category, original, start, end) of each entity, by start."""
     out: list[tuple[str, str, int, int]] = []
     seen: set[tuple[str, str]] = set()
-    for (category, pattern), valid in zip(_passes(), _VALID):
-        for m in pattern.finditer(text):
-            lead = len(m[0]) - len(re.sub(f"^{P.WS}+", "", m[0]))
-            own = re.sub(f"{P.WS}+$", "", m[0][lead:])
-            start, end = m.start() + lead, m.start() + lead + len(own)
-            if (dedupe and (category, own) in seen) or not valid(own) or any(start < b and end > a for _, _, a, b in out):
+    for number, (category, _) in enumerate(P.PASSES):
+        for start, end, own in matches(text, number):
+            if (dedupe and (category, own) in seen) or any(start < b and end > a for _, _, a, b in out):
                 continue
             seen.add((category, own))
             out.append((category, own, start, end))

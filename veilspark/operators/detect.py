@@ -80,6 +80,25 @@ def with_entities(df: DataFrame, text_col: str = "text", dedupe: bool = True) ->
     return plain.unionByName(rest)
 
 
+def _long_candidates(batches: Iterator[pa.RecordBatch], text_at: int, names: list[str], passes: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    from ..functions.textscan import matches
+
+    kind = pa.list_(pa.struct([("pass", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("category", pa.string()), ("value", pa.string())]))
+    for batch in batches:
+        got = [[{"pass": i, "start": a, "end": b, "category": P.PASSES[i][0], "value": v} for i in passes for a, b, v in matches(t or "", i)] for t in batch.column(text_at).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, kind)], names=[*names, "found"])
+
+
+def with_candidates(df: DataFrame, *passes: int, text_col: str = "text") -> DataFrame:
+    """df with a column found: the pass_candidates of each of the passes, one after the other.  Rows go through Python as in with_entities."""
+    text = F.col(text_col)
+    long = has_long_run(text)
+    plain = S.once(df.filter(~long), found=F.concat(*[pass_candidates(text, i) for i in passes]))
+    names, at = df.columns, df.columns.index(text_col)
+    rest = df.filter(long).mapInArrow(lambda batches: _long_candidates(batches, at, names, passes), plain.schema)
+    return plain.unionByName(rest)
+
+
 def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", dedupe: bool = True) -> DataFrame:
     """One row per entity: the id, original, category, source, start, end, confidence."""
     own = with_entities(df.select(id_col, text_col), text_col, dedupe)

@@ -80,9 +80,7 @@ def _flat(df: DataFrame) -> DataFrame:
 
 def _pass(number: int, name: str = "documents"):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = _texts(spark, sf_dir, name)
-        long = D.has_long_run(F.col("text"))
-        found = S.once(rows.filter(~long), found=D.pass_candidates(F.col("text"), number)).select("doc_id", F.inline("found"))
+        found = D.with_candidates(_texts(spark, sf_dir, name), number).select("doc_id", F.inline("found"))
         return found.select("doc_id", F.col("start").cast("long").alias("span_start"), F.col("end").cast("long").alias("span_end"), "value")
 
     return query
@@ -299,8 +297,7 @@ def kept_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def best_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of all matches of a document with one key the preferred; cards count as proposals of a model here."""
-    rows = _texts(spark, sf_dir)
-    found = S.once(rows.filter(~D.has_long_run(F.col("text"))), found=F.concat(*[D.pass_candidates(F.col("text"), i) for i in range(len(P.PASSES))]))
+    found = D.with_candidates(_texts(spark, sf_dir), *range(len(P.PASSES)))
     flat = found.select("doc_id", F.inline("found"))
     keyed = flat.withColumns({"entity_key": F.lower("value"), "source": F.when(F.col("category") == "credit_card", "ai").otherwise("deterministic"), "confidence": F.when(F.col("category") == "credit_card", 0.5)})
     best = R.best_per_key(keyed, "doc_id", "entity_key", "source", "confidence", "start", arrival="pass")
