@@ -128,6 +128,16 @@ def test_style_tree_removes_templates(spark):
     assert H.extract(df.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("n", [3, 5, 300])
+def test_style_tree_tells_unnamed_siblings_apart(spark, n):
+    """Menu and legal text without ids, classes or <article>, on hosts of few and of many pages; what repeats in one page only stays."""
+    menu, legal = "<div>Home News Sport</div>", "<div><p>All rights</p><p>reserved</p></div>"
+    rows = [(i, f"http://h.example/{i}", f"<html><body>{menu}<div><p>story {i}</p><p>goes on {i * i + 1}</p></div>{legal}</body></html>") for i in range(n)]
+    rows += [(1000, "http://one.example/", "<body>" + "<p>again</p>" * 20 + "<p>end</p></body>")]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{i: f"story {i} goes on {i * i + 1}" for i in range(n)}, 1000: "again " * 20 + "end"}
+
+
 def test_style_tree_without_broadcast(spark, monkeypatch):
     rows = [(i, f"http://h{i % 2}.example/{i}", f"<body><div class=c1>Same</div><p>text {i}</p></body>") for i in range(40)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")

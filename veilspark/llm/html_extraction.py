@@ -1,11 +1,13 @@
 """Operator 3: main text of web pages by site style trees.
 
-Pages of a host are merged into one tree: a node is a path of block elements (tag with id or first
-class), and for each node are counted, over all pages of the host, the styles it is presented in (its
-sequence of child elements) and the contents it holds (the text below it).  The entropy of each count,
-relative to its maximum, is the node's importance: what looks and reads the same on page after page
-is template.  A branch is removed when its combined importance is below LOW on MIN_PAGES pages or
-more, and when its element says itself that it isn't the article (FURNITURE, or a class or id made of
+Pages of a host are merged into one tree, whose nodes are taken in two ways: as the path of block
+elements (tag with id or first class), and as that path with, at each step, the style of the parent (its
+sequence of child blocks) and the place in it, so that siblings without names are told apart.  For each
+node are counted, over all pages of the host, the styles it is presented in and the contents it holds
+(the text below it).  The entropy of each count, relative to its maximum, is the node's importance: what
+looks and reads the same on page after page is template.  A branch is removed when its combined
+importance, taken either way, is below LOW on MIN_PAGES pages or more (on fewer than eight that is what
+reads the same on all of them), and when its element says itself that it isn't the article (FURNITURE, or a class or id made of
 such words).  Where a page marks an article, text outside of it goes too.
 
 The counts are grouped aggregations with map-side partial sums, so a host with a third of all pages is
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, stage
 
 LOW = 0.15
-MIN_PAGES = 8
+MIN_PAGES = 3
 #: Share of presentation in a node's importance; the rest is content.
 PRESENTATION = 0.1
 #: Removable nodes that may be broadcast (about 100 bytes each).
@@ -66,17 +69,19 @@ def _named(attrs: str) -> tuple[str, bool]:
 
 
 class Node:
-    __slots__ = ("tag", "path", "start", "children", "out", "article")
+    __slots__ = ("tag", "path", "start", "children", "out", "article", "number", "inner")
 
-    def __init__(self, tag, path, start, out, article):
-        self.tag, self.path, self.start, self.children, self.out, self.article = tag, path, start, [], out, article
+    def __init__(self, tag, path, start, out, article, number):
+        self.tag, self.path, self.start, self.children, self.out, self.article, self.number, self.inner = tag, path, start, [], out, article, number, []
 
 
-def parse(page: str) -> tuple[list[tuple[str, str, bool, int]], list[tuple[str, str, int, int]]]:
-    """Blocks (path, text, furniture, number of the article or 0) and nodes (path, style, first and last block) of a page."""
-    blocks: list[tuple[str, str, bool, int]] = []
-    nodes: list[tuple[str, str, int, int]] = []
-    stack = [Node("", "", 0, False, 0)]
+def parse(page: str) -> tuple[list[tuple[str, str, bool, int, str]], list[tuple[str, str, int, int, str]]]:
+    """Blocks (path, text, furniture, number of the article or 0, placed path) and nodes (path, style, first and last block, placed path) of a page."""
+    blocks: list[tuple] = []
+    nodes: list[tuple] = []
+    made: list[tuple[int, int, str]] = [(0, 0, "")]  # parent, place and name of each node
+    inner: list[str] = [""]  # its sequence of child blocks
+    stack = [Node("", "", 0, False, 0, 0)]
     pieces: list[str] = []
     articles = 0
 
@@ -86,12 +91,13 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool, int]], list[tuple[str,
             pieces.clear()
             if text:
                 top = stack[-1]
-                blocks.append((top.path, text, top.out, top.article))
+                blocks.append((top.path, text, top.out, top.article, top.number))
 
     def close() -> None:
         flush()
         top = stack.pop()
-        nodes.append((top.path, ">".join(dict.fromkeys(top.children)), top.start, len(blocks)))
+        nodes.append((top.path, ">".join(dict.fromkeys(top.children)), top.start, len(blocks), top.number))
+        inner[top.number] = f"{zlib.crc32('>'.join(top.inner).encode('utf-8', 'replace')):08x}"
 
     def close_upto(tags, bounds) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -156,21 +162,35 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool, int]], list[tuple[str,
             articles += 1
             article = articles
         top.children.append(tag + name)
-        stack.append(Node(tag, f"{top.path}/{tag}{name}", len(blocks), out, article))
+        made.append((top.number, len(top.inner), tag + name))
+        inner.append("")
+        top.inner.append(tag + name)
+        stack.append(Node(tag, f"{top.path}/{tag}{name}", len(blocks), out, article, len(made) - 1))
     flush()
     while stack:
         close()
-    return blocks, nodes
+    placed = [""]
+    for parent, place, label in made[1:]:
+        placed.append(f"{placed[parent]}/{label}@{inner[parent]}.{place}")
+    return [(*b[:4], placed[b[4]]) for b in blocks], [(*x[:4], placed[x[4]]) for x in nodes]
+
+
+def _under(path: str, low: frozenset | set) -> bool:
+    while path:
+        if path in low:
+            return True
+        path = path.rpartition("/")[0]
+    return False
 
 
 def main_text(page: str, low: frozenset | set = frozenset()) -> str:
-    """Article text of a page, without the branches whose paths are in low."""
+    """Article text of a page, without the branches whose paths, plain or placed, are in low."""
     blocks, _ = parse(page)
     plain = [b for b in blocks if not b[2]]
     if any(b[3] for b in plain):
         plain = [b for b in plain if b[3]]
     if low:
-        some = [b for b in plain if not any(b[0] == x or b[0].startswith(x + "/") for x in low)]
+        some = [b for b in plain if not _under(b[0], low) and not _under(b[4], low)]
         plain = some or plain  # a host that holds one page again and again has nothing that stands out
     return " ".join(b[1] for b in plain)
 
@@ -183,7 +203,7 @@ def host_of(url: str | None) -> str:
 
 
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, path, n and importance of each node of each host's style tree."""
+    """host, path (plain or placed), pages and importance of each node of each host's style tree."""
     out = pa.schema([("host", pa.string()), ("path", pa.string()), ("kind", pa.int8()), ("value", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,21 +216,26 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
                 for url, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     host = host_of(url)
                     blocks, nodes = parse(page or "")
-                    for path, style, a, b in nodes:
+                    here = set()
+                    for path, style, a, b, placed in nodes:
                         # Nodes without text, and those that go by their element anyway, need no counts.
                         if path and b > a and not blocks[a][2]:
-                            rows.append((host, path, 0, digest(style)))
-                            rows.append((host, path, 1, digest("\n".join([x[1] for x in blocks[a:b]]))))
+                            looks, reads = digest(style), digest("\n".join([x[1] for x in blocks[a:b]]))
+                            rows += [(host, path, 0, looks), (host, path, 1, reads), (host, placed, 0, looks), (host, placed, 1, reads)]
+                            here.add(path)
+                    rows += [(host, path, 2, 0) for path in here]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
 
     seen = small_batches(pages).select(F.col(url_col).cast("string"), F.col(html_col).cast("string")).mapInArrow(run, "host string, path string, kind byte, value long")
     each = seen.groupBy("host", "path", "kind", "value").agg(F.count(F.lit(1)).alias("c"))
+    # Plain paths may occur more than once in a page, which kind 2 counts once; placed ones can't.
     sums = each.groupBy("host", "path", "kind").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log2("c")).alias("s"))
     # Entropy of the counts over its maximum, log n; a node seen once is important.
     share = F.when(F.col("n") > 1, (F.log2("n") - F.col("s") / F.col("n")) / F.log2("n")).otherwise(1.0)
-    weight = F.when(F.col("kind") == 0, PRESENTATION).otherwise(1 - PRESENTATION)
-    return sums.groupBy("host", "path").agg(F.max("n").alias("n"), F.sum(weight * share).alias("importance"))
+    weight = F.when(F.col("kind") == 0, PRESENTATION).when(F.col("kind") == 1, 1 - PRESENTATION).otherwise(0.0)
+    pages = F.coalesce(F.max(F.when(F.col("kind") == 2, F.col("n"))), F.max("n"))
+    return sums.groupBy("host", "path").agg(pages.alias("n"), F.sum(weight * share).alias("importance"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", low: float = LOW, least: int = MIN_PAGES) -> DataFrame:
@@ -221,7 +246,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     paragraphs and list items close themselves, unknown ends are skipped, open elements end with the page.
     """
     nodes = style_tree(pages, url_col, html_col).filter((F.col("importance") < low) & (F.col("n") >= least)).select(F.col("host").alias("_host"), "path")
-    lists = stage(nodes.groupBy("_host").agg(F.collect_set("path").alias("_low"), F.count(F.lit(1)).alias("_n")))
+    lists = nodes.groupBy("_host").agg(F.collect_set("path").alias("_low"))
+    # What lies below a removable node goes with it.
+    lists = stage(lists.select("_host", F.expr("filter(_low, x -> not exists(_low, y -> startswith(x, concat(y, '/'))))").alias("_low")).withColumn("_n", F.size("_low")))
     size = lists.agg(F.sum("_n")).first()[0] or 0
     rows = small_batches(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     if size <= BROADCAST_NODES:
