@@ -91,6 +91,12 @@ def test_evidence_decides_where_text_is_silent(spark):
     assert language_id.identify(None, none, model).count() == 0 and language_id.fit(docs.filter("false"))[0] == ["und"]
 
 
+def test_declared_language_after_a_long_comment(spark):
+    docs = spark.createDataFrame([(i, "the and of with from", "en", "s") for i in range(20)] + [(20 + i, "der und das nicht mit", "de", "s") for i in range(20)], "doc_id long, text string, lang string, source string")
+    pages = spark.createDataFrame([(1, "http://a.example/x", f"<!-- {'x ' * 4000}--><html lang='de'><p>der und</p>")], "page_id long, url string, html string")
+    assert language_id.identify(None, pages, language_id.fit(docs)).first().declared == "de"
+
+
 # -- pages -----------------------------------------------------------------------------------------
 
 

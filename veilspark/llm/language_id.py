@@ -98,7 +98,7 @@ def likelihoods(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFra
             declared, posts = [], []
             for body, is_html in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist()):
                 body = body or ""
-                said = _DECLARED.search(body[:4096]) if is_html else None
+                said = _DECLARED.search(body) if is_html else None
                 declared.append(said[1].lower()[:2] if said else None)
                 if is_html:
                     body = " ".join(b[1] for b in parse(body)[0] if not b[2])
