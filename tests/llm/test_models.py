@@ -97,6 +97,18 @@ def test_declared_language_after_a_long_comment(spark):
     assert language_id.identify(None, pages, language_id.fit(docs)).first().declared == "de"
 
 
+def test_every_labelled_language_can_be_the_answer(spark):
+    rng = random.Random(8)
+    names = [f"{a}{b}" for a in "abcdefghij" for b in "abcdefg"]
+    words = {x: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)] for x in names}
+    rows = [(100 * i + j, " ".join(rng.choices(words[x], k=30)), x, f"s{i}") for i, x in enumerate(names) for j in range(3 if i < 65 else 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = language_id.fit(docs)
+    assert model[0] == sorted(names) and len(names) == 70
+    got = {r.doc_id: r.lang for r in language_id.identify(docs, None, model).collect()}
+    assert got == {i: x for i, _, x, _ in rows}
+
+
 # -- pages -----------------------------------------------------------------------------------------
 
 

@@ -25,7 +25,8 @@ from .common import lookup, small_batches, stage
 from .html_extraction import _host, parse
 
 SAMPLE = 1500
-LANGUAGES = 64
+#: Languages whose trigrams are added up at a time.
+BLOCK = 64
 CELLS = 1 << 15
 #: The text's evidence counts as so many trigrams at most.
 TEMPER = 60.0
@@ -56,14 +57,13 @@ def counts(data: bytes) -> np.ndarray:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages and the log likelihood of each trigram cell in each; LANGUAGES languages at most, the most frequent."""
+    """Languages and the log likelihood of each trigram cell in each, for every label that occurs (128 KB each)."""
     known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col(lang_col)).alias("lang")).dropna()
-    most = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    langs = sorted(r.lang for r in most.collect())
+    langs = sorted(r.lang for r in known.select("lang").distinct().collect())
     if not langs:
         return ["und"], np.zeros((1, CELLS))
     # For each language its own first rows by a hash; both steps keep at most `sample` rows of each language and task.
-    share = known.filter(F.col("lang").isin(langs)).withColumn("h", F.xxhash64("doc_id"))
+    share = known.withColumn("h", F.xxhash64("doc_id"))
     least = share.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select("lang", (F.lit(2.0 * sample) / F.col("n")).alias("part"))
     near = share.join(F.broadcast(least), "lang").filter((F.col("part") >= 1) | ((F.col("h").cast("double") / 2.0**64 + 0.5) < F.col("part")))
     first = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("r") <= sample)
@@ -71,17 +71,19 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
     index = {x: i for i, x in enumerate(langs)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(langs), CELLS), np.int64)
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                total[index[lang]] += counts((text or "").encode("utf-8", "replace"))
-        some = np.argwhere(total)
-        if len(some):
-            yield pa.RecordBatch.from_arrays([pa.array(some[:, 0]), pa.array(some[:, 1]), pa.array(total[some[:, 0], some[:, 1]])], names=["l", "c", "n"])
+                own = counts((text or "").encode("utf-8", "replace"))
+                total[index[lang]] = total[index[lang]] + own if index[lang] in total else own
+        for i, own in total.items():
+            some = np.flatnonzero(own)
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), i)), pa.array(some), pa.array(own[some])], names=["l", "c", "n"])
 
     rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.join(F.broadcast(chosen), "doc_id").select("text", "_lang").mapInArrow(run, "l long, c long, n long")
-    got = rows.groupBy("l", "c").agg(F.sum("n").alias("n")).toArrow()  # LANGUAGES * CELLS rows at most
+    got = rows.groupBy("l", "c").agg(F.sum("n").alias("n")).toArrow()  # CELLS rows for each language at most
     table = np.full((len(langs), CELLS), 0.5)
     table[got.column("l").to_numpy(), got.column("c").to_numpy()] += got.column("n").to_numpy()
     return langs, np.log(table / table.sum(axis=1, keepdims=True))
@@ -90,7 +92,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
 def likelihoods(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """row key, host, suffix, declared and p (the text's own posterior under equal priors) of rows(key, host, url, body, is_html)."""
     langs, table = model
-    shared = rows.sparkSession.sparkContext.broadcast(table.astype(np.float32))  # bounded by LANGUAGES and CELLS
+    shared = rows.sparkSession.sparkContext.broadcast(table.astype(np.float32))  # CELLS numbers for each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -106,7 +108,8 @@ def likelihoods(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFra
                 score, n = np.zeros(len(langs)), 0
                 for at in range(0, len(data), 1 << 16):
                     c = cells(data[at : at + (1 << 16)])
-                    score += own[:, c].sum(axis=1, dtype=np.float64)
+                    for lo in range(0, len(langs), BLOCK):
+                        score[lo : lo + BLOCK] += own[lo : lo + BLOCK, c].sum(axis=1, dtype=np.float64)
                     n += len(c)
                 score *= min(1.0, TEMPER / n) if n else 0.0
                 p = np.exp(score - score.max())
