@@ -190,6 +190,15 @@ def test_nearest(spark):
     assert vptree.nearest(df.filter("false"), "vec_id % 50 = 0").count() == 0
 
 
+def test_nearest_of_almost_parallel_vectors(spark):
+    """Scaled copies, rounded to floats, differ in their last bits only; rounding must not choose among them."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=12)]) for i in range(100)]
+    rows += [(100 + i, [float(np.float32(x * s)) for x in rows[50 * (i % 2)][1]]) for i, s in enumerate(rng.uniform(0.2, 5, size=400))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(tuple(r) for r in vptree.nearest(df, "vec_id % 50 = 0").collect()) == sorted(plain_nearest(rows, 5))
+
+
 def test_factor_trades_recall_for_work():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(6000, 8))

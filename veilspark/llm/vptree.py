@@ -21,8 +21,9 @@ from .common import small_batches
 SHARD = 8192
 BLOCK = 4096
 LEAF = 256
-#: Candidates are ranked by a fast product first; those this close to the k-th best are all ranked exactly.
-NEAR = 1e-9
+#: Candidates are ranked by a fast product first.  Rounding moves its squared chords by less than this for each component
+#: of a vector; those as close as that to the k-th best are all ranked exactly.
+NEAR = 8 * 2.0**-52
 
 
 class Tree:
@@ -30,6 +31,7 @@ class Tree:
 
     def __init__(self, unit: np.ndarray, leaf: int = LEAF):
         self.unit, self.leaf = unit, leaf
+        self.near = NEAR * (unit.shape[1] + 4)
         self.nodes: list = []
         self.visited = 0
         self.root = self._build(np.arange(len(unit)), 0)
@@ -40,7 +42,7 @@ class Tree:
             return len(self.nodes) - 1
         # The vantage point: of a few spread over the rows, the one whose distances vary most.
         some = rows[:: max(1, len(rows) // 8)][:8]
-        d = _chord(self.unit[some], self.unit[rows])
+        d = np.sqrt(_squared(self.unit[some], self.unit[rows]))
         best = int(np.argmax(d.var(axis=1)))
         d = d[best]
         order = np.argsort(d, kind="stable")
@@ -50,7 +52,6 @@ class Tree:
         self.nodes.append(None)
         inner = self._build(rows[order[:half]], depth + 1)
         outer = self._build(rows[order[half:]], depth + 1)
-        # Rounding can't move a row to the wrong side of a bound that is this much wider.
         self.nodes[node] = (int(some[best]), radius, inner, outer)
         return node
 
@@ -65,7 +66,7 @@ class Tree:
         for tau, parts in zip(self.tau, self.found):
             rows = np.concatenate([r for r, _ in parts]) if parts else np.zeros(0, np.int64)
             d = np.concatenate([d for _, d in parts]) if parts else np.zeros(0)
-            out.append(np.unique(rows[d <= tau + NEAR]))
+            out.append(np.unique(rows[d <= tau + self.near]))
         return out
 
     def _walk(self, node: int, q: np.ndarray) -> None:
@@ -76,27 +77,31 @@ class Tree:
             if not len(at):
                 return
             self.visited += len(q) * len(at)
-            d = _chord(self.queries[q], self.unit[at])
+            d = _squared(self.queries[q], self.unit[at])
             both = np.concatenate([self.best[q], d], axis=1)
             both.partition(self.k - 1, axis=1)
             self.best[q] = both[:, : self.k]
             self.tau[q] = self.best[q].max(axis=1)
-            hit = d <= self.tau[q][:, None] + NEAR
+            hit = d <= self.tau[q][:, None] + self.near
             for i in np.flatnonzero(hit.any(axis=1)).tolist():
                 self.found[q[i]].append((at[hit[i]], d[i][hit[i]]))
             return
         row, radius, inner, outer = at
-        d = _chord(self.queries[q], self.unit[row : row + 1])[:, 0]
-        near = d < radius
+        d = _squared(self.queries[q], self.unit[row : row + 1])[:, 0]
+        near = d < radius * radius
         self._walk(inner, q[near])
         self._walk(outer, q[~near])
-        # Anything beyond the radius is at least radius - d away, anything within it d - radius.
-        self._walk(outer, q[near][radius - d[near] <= self.factor * self.tau[q[near]] + NEAR])
-        self._walk(inner, q[~near][d[~near] - radius <= self.factor * self.tau[q[~near]] + NEAR])
+        # Anything beyond the radius is at least radius - d away, anything within it d - radius; each as far as rounding may have moved it.
+        least = lambda x: np.sqrt(np.maximum(0, x - self.near))
+        most = lambda x: np.sqrt(x + self.near)
+        reach = lambda own: self.factor * np.sqrt(self.tau[own] + 2 * self.near)
+        self._walk(outer, q[near][least(radius * radius) - most(d[near]) <= reach(q[near])])
+        self._walk(inner, q[~near][least(d[~near]) - most(radius * radius) <= reach(q[~near])])
 
 
-def _chord(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(0, 2 - 2 * (a @ b.T)))
+def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared chords, whose rounding errors are as small near zero as elsewhere."""
+    return np.maximum(0, 2 - 2 * (a @ b.T))
 
 
 def cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
