@@ -8,8 +8,9 @@ from hashlib import sha256
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from veilspark.llm import chunk_dedup, exact_dedup, simhash, suffix_dedup
+from veilspark.llm import chunk_dedup, common, exact_dedup, simhash, suffix_dedup
 
 SPACE = "[\x20\x09-\x0d]"
 
@@ -37,6 +38,36 @@ def test_exact_groups(docs, texts, none):
     assert exact_dedup.exact_groups(none).count() == 0 and exact_dedup.exact_dedup(none).columns == none.columns
 
 
+def test_digests_of_several_texts_meet_by_the_text(spark, docs, texts, monkeypatch):
+    """With a digest that many texts share the results are the same."""
+    want = sorted(str(tuple(r)) for r in exact_dedup.exact_groups(docs).collect())
+    kept = sorted(str(tuple(r)) for r in exact_dedup.one_of_each(docs).select("text").collect())
+    monkeypatch.setattr(exact_dedup, "_digest", lambda norm: F.substring(norm, 1, 1))
+    assert sorted(str(tuple(r)) for r in exact_dedup.exact_groups(docs).collect()) == want
+    assert sorted(str(tuple(r)) for r in exact_dedup.one_of_each(docs).select("text").collect()) == kept
+
+
+def test_names_that_clash(spark, texts):
+    """Columns named like those that the operators make pass through every stage that keeps columns."""
+    names = ["doc_id", "text", "_gone", "gone", "_runs", "runs", "cut_of", "_cut_of", "_n_bytes", "_n_removed", "_n_spans", "hot", "of_hot", "cold", "of_cold", "away", "near_by", "key", "norm", "best", "size", "row", "met", "_k", "a", "b", "kept"]
+    rows = [(d, t, *[f"{c}{i}" for c in names[2:]]) for i, (d, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{c}` {'long' if c == 'doc_id' else 'string'}" for c in names)).repartition(3)
+    slim = docs.select("doc_id", "text")
+    for stay in (exact_dedup.exact_dedup, exact_dedup.one_of_each, simhash.near_dedup):
+        got = stay(docs)
+        assert got.columns == names
+        own = got.collect()
+        assert {tuple(r) for r in own} <= set(rows) and sorted(str(r.text) for r in own) == sorted(str(r.text) for r in stay(slim).collect())
+    cut = chunk_dedup.dedup_substrings(docs)
+    assert cut.columns == [*names, "__n_bytes", "__n_removed", "__n_spans"]
+    own, plain = cut.collect(), chunk_dedup.dedup_substrings(slim).collect()
+    assert sorted(str((r.doc_id, r.text)) for r in own) == sorted(str((r.doc_id, r.text)) for r in plain) and {tuple(r)[2:-3] for r in own} == {r[2:] for r in rows}
+    tuple_of = lambda df: sorted(str(tuple(r)) for r in df.collect())
+    assert tuple_of(suffix_dedup.remove_repeats(docs, digests=True)) == tuple_of(suffix_dedup.remove_repeats(slim, digests=True))
+    assert tuple_of(exact_dedup.exact_groups(docs)) == tuple_of(exact_dedup.exact_groups(slim))
+    assert tuple_of(simhash.simhash_components(docs)) == tuple_of(simhash.simhash_components(slim))
+
+
 def test_exact_dedup_keeps_one(spark):
     df = spark.createDataFrame([(i, f"t {i % 7}") for i in range(5000)], "doc_id long, text string")
     assert sorted(r.doc_id for r in exact_dedup.exact_dedup(df).collect()) == list(range(7))
@@ -119,9 +150,15 @@ def test_bit_sliced_links():
         assert sorted(got) == sorted((x, root(x)) for x in range(700) if root(x) != x)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [simhash.TASK_EDGES, 0])
+def test_components(spark, most, monkeypatch):
+    monkeypatch.setattr(common, "HOT_LEAST", 5)
+    monkeypatch.setattr(simhash, "TASK_EDGES", most)
     rng = random.Random(1)
-    edges = [(i, i + 1) for i in range(0, 300) if i % 50] + [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(250)]
+    # A root and a node of the largest id that many hang on, chains and chance.
+    edges = [(5000, 5001 + i) for i in range(60)] + [(9000, 8000 + i) for i in range(60)]
+    if most:
+        edges += [(i, i + 1) for i in range(0, 300) if i % 50] + [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(250)]
     parent: dict[int, int] = {}
 
     def root(x):
@@ -216,6 +253,54 @@ def test_substrings(docs, texts, none):
         assert r._n_bytes - r._n_removed == len(as_bytes(r.text))
 
 
+def plain_substrings(texts):
+    """Chunks by a rolling hash from byte to byte, looked up in a dictionary; runs of MIN_RUN bytes go."""
+    first: dict[bytes, int] = {}
+    parts = []
+    for d, t in texts:
+        data, h, cands = as_bytes(t), 0, []
+        for i, c in enumerate(data):
+            h = (h << 1) + int(chunk_dedup.GEAR[c]) & 0xFFFF
+            if i >= 15 and h >> 16 - chunk_dedup.CUT_BITS == 0 and i + 1 < len(data):
+                cands.append(i + 1)
+        marks = [0, *[x for i, x in enumerate(cands) if not i or x - cands[i - 1] >= chunk_dedup.MIN_CHUNK], len(data)]
+        ends = [e for a, b in zip(marks, marks[1:]) for e in [*range(a + chunk_dedup.MAX_CHUNK, b, chunk_dedup.MAX_CHUNK), b]] if data else []
+        own = list(zip([0, *ends], ends))
+        parts.append((d, data, own))
+        for a, b in own if d is not None else ():
+            first[data[a:b]] = min(first.get(data[a:b], d), d)
+    dups = {}  # rows that repeat an id are one document
+    for d, data, own in parts:
+        if d is not None:
+            dups.setdefault(d, set()).update((a, b) for a, b in own if first[data[a:b]] < d)
+    for d, data, _ in parts:
+        runs: list[list[int]] = []
+        for a, b in sorted(dups.get(d, ())):
+            if runs and a <= runs[-1][1]:
+                runs[-1][1] = max(runs[-1][1], b)
+            else:
+                runs.append([a, b])
+        out, at = b"", 0
+        for a, b in runs:
+            if b - a < chunk_dedup.MIN_RUN:
+                continue
+            while a < b and data[a] & 0xC0 == 0x80:
+                a += 1
+            while b > a and b < len(data) and data[b] & 0xC0 == 0x80:
+                b -= 1
+            out, at = out + data[at:a], max(at, b)
+        yield d, (out + data[at:]).decode()
+
+
+def test_substrings_by_brute_force(spark, docs, texts):
+    rng = random.Random(21)
+    passages = ["".join(rng.choices("abcdefgh äöü漢", k=rng.randint(60, 400))) for _ in range(8)]
+    rows = [*texts, *[(1000 + i, "".join(rng.choice(passages) if rng.random() < 0.3 else "".join(rng.choices("abcdefghijkl ", k=rng.randint(1, 80))) for _ in range(12))) for i in range(60)]]
+    got = chunk_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in got) == sorted((str(d), t) for d, t in plain_substrings(rows))
+    assert sum(r._n_removed > 0 for r in got) > 30
+
+
 def test_substrings_without_broadcast(docs, monkeypatch):
     want = sorted(str(r) for r in chunk_dedup.dedup_substrings(docs).collect())
     monkeypatch.setattr(chunk_dedup, "BROADCAST_SPANS", 0)
@@ -266,6 +351,13 @@ def test_repeats_in_small_blocks(spark, monkeypatch):
     assert sorted(str(tuple(r)) for r in suffix_dedup.remove_repeats(df, digests=True).collect()) == sorted(map(str, plain_repeats(rows)))
 
 
+def test_arrays_that_would_overflow_are_refused(docs):
+    with pytest.raises(ValueError):
+        suffix_dedup.suffix_array(np.ones(suffix_dedup.LONGEST + 1, np.int64))
+    with pytest.raises(ValueError):
+        suffix_dedup.remove_repeats(docs, hot=100_000)
+
+
 def test_anchors_agree():
     rng = random.Random(6)
     text = bytes(rng.choice(b"abc ") for _ in range(4000))

@@ -46,7 +46,7 @@ def test_memory_changes_nothing(codec, monkeypatch):
 def test_byte_bpe(docs, texts, none):
     got = bpe.byte_bpe(docs, RANKS, public_tokenizers.PATTERN, digests=True).collect()
     own = Tokenizer.from_file(FILE)
-    own.encode_special_tokens = True
+    own.encode_special_tokens = True  # this operator knows no special tokens
     want = []
     for d, t in texts:
         ids = own.encode(t or "", add_special_tokens=False).ids
@@ -57,10 +57,9 @@ def test_byte_bpe(docs, texts, none):
 
 def test_encoders_agree():
     own = Tokenizer.from_file(FILE)
-    own.encode_special_tokens = True
     with open(FILE, encoding="utf-8") as f:
         vocabulary = f.read()
-    for text in ODD:
+    for text in [*ODD, "a <|endoftext|> b", "<|endoftext|><|endoftext|>x", "é<|endoftext|>", "漢<|endoftext|>字", "<|endoftext|"]:
         assert packing.encode(text, vocabulary) == own.encode(text, add_special_tokens=False).ids
 
 
@@ -110,8 +109,7 @@ def check(rows, ids):
 
 def test_pack_sequences(spark, texts, none):
     own = Tokenizer.from_file(FILE)
-    own.encode_special_tokens = True
-    rows = [(i, t) for i, (_, t) in enumerate(texts)]
+    rows = [(i, t) for i, (_, t) in enumerate([*texts, (0, "a <|endoftext|> b")])]
     got = packing.pack_sequences(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), FILE).collect()
     check([tuple(r) for r in got], {i: np.array([*own.encode(t or "", add_special_tokens=False).ids, 0], np.uint32) for i, t in rows})
     assert packing.pack_sequences(none, FILE).count() == 0

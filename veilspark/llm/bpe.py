@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import shipped, slices
 
 MEMORY = 300_000
 _ALL = (1 << 64) - 1
@@ -175,15 +175,13 @@ def byte_bpe(docs: DataFrame, rank_file: str, pattern: str, digests: bool = Fals
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows = []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    ids = own.encode(text or "")
-                    back = own.decode(ids)
-                    rows.append((doc, len(ids) // 4, *((sha256(ids).hexdigest(), sha256(back).hexdigest()) if digests else (ids, back))))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
+        for part in slices(batches):
+            rows = []
+            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                ids = own.encode(text or "")
+                back = own.decode(ids)
+                rows.append((doc, len(ids) // 4, *((sha256(ids).hexdigest(), sha256(back).hexdigest()) if digests else (ids, back))))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else SCHEMA
-    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return shipped(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)

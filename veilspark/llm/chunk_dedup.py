@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import HOT_LEAST, HOT_SHARE, small_batches, stage
+from .common import HOT_LEAST, HOT_SHARE, fresh, shipped, slices, stage
 
 CUT_BITS = 4
 MIN_CHUNK = 12
@@ -81,22 +81,20 @@ def chunks(docs: DataFrame) -> DataFrame:
     out = pa.schema(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows = []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    data = (text or "").encode("utf-8", "replace")
-                    if doc is None or not data:
-                        continue
-                    ends = cuts(data)
-                    d1, d2 = _digests(data, ends)
-                    starts = np.r_[0, ends[:-1]]
-                    rows.append((d1, d2, np.full(len(ends), doc, np.int64), starts, ends - starts))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(f.type.to_pandas_dtype())) for c, f in zip(zip(*rows), out)], schema=out)
-
-    return small_batches(docs).mapInArrow(run, "d1 long, d2 int, doc_id long, start int, size int")
+        for part in slices(batches):
+            rows = []
+            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                data = (text or "").encode("utf-8", "replace")
+                if doc is None or not data:
+                    continue
+                ends = cuts(data)
+                d1, d2 = _digests(data, ends)
+                starts = np.r_[0, ends[:-1]]
+                rows.append((d1, d2, np.full(len(ends), doc, np.int64), starts, ends - starts))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(f.type.to_pandas_dtype())) for c, f in zip(zip(*rows), out)], schema=out)
+
+    return shipped(docs).mapInArrow(run, "d1 long, d2 int, doc_id long, start int, size int")
 
 
 def _duplicates(docs: DataFrame) -> DataFrame:
@@ -160,31 +158,29 @@ def dedup_substrings(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc
     Of equal passages the one in the document with the smallest id stays.  Null texts stay null and
     lose nothing; a null id takes no part; rows that repeat an id are one document to this rule, so
     the first of them keeps its passages and so do the others.  Other columns pass through, whatever
-    their names; an empty table gives an empty one.
+    their names: where docs has one of the three, the new one has one more underscore in front.  An
+    empty table gives an empty one.
     """
-    cut = spans(docs, min_run, id_col, text_col)
-    cut = stage(cut.select(F.col("doc_id").alias("_cut_of"), F.col("runs").alias("_runs")))
-    n_rows, numbers = cut.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_runs")), F.lit(0))).first()
-    few = n_rows <= BROADCAST_SPANS and numbers <= BROADCAST_NUMBERS
-    joined = docs.join(F.broadcast(cut) if few else cut, docs[id_col].cast("long") == cut._cut_of, "left").drop("_cut_of")
     names = docs.columns
     text = names.index(text_col)
-    counted = T.StructType.fromDDL("_n_bytes long, _n_removed long, _n_spans long")
-    schema = T.StructType([*docs.schema.fields, *counted.fields])
+    counted = fresh(names, "_n_bytes", "_n_removed", "_n_spans")
+    cut_of, runs_of = fresh([*names, *counted], "cut_of", "runs")
+    cut = stage(spans(docs, min_run, id_col, text_col).select(F.col("doc_id").alias(cut_of), F.col("runs").alias(runs_of)))
+    n_rows, numbers = cut.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(runs_of)), F.lit(0))).first()
+    few = n_rows <= BROADCAST_SPANS and numbers <= BROADCAST_NUMBERS
+    joined = docs.join(F.broadcast(cut) if few else cut, docs[id_col].cast("long") == F.col(cut_of), "left").select(*[F.col(f"`{c}`") for c in names], runs_of)
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in counted)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                own, texts, counts = part.column(len(names)).to_pylist(), [], []
-                for t, runs in zip(part.column(text).to_pylist(), own):
-                    data = (t or "").encode("utf-8", "replace")
-                    left, removed, n = _kept(data, runs) if runs else (data, 0, 0)
-                    texts.append(None if t is None else left.decode("utf-8") if runs else t)
-                    counts.append((len(data), removed, n))
-                columns = [part.column(i) for i in range(len(names))]
-                columns[text] = pa.array(texts, pa.string())
-                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, pa.int64()) for c in zip(*counts))], names=[*names, "_n_bytes", "_n_removed", "_n_spans"])
+        for part in slices(batches, 512):
+            own, texts, counts = part.column(len(names)).to_pylist(), [], []
+            for t, runs in zip(part.column(text).to_pylist(), own):
+                data = (t or "").encode("utf-8", "replace")
+                left, removed, n = _kept(data, runs) if runs else (data, 0, 0)
+                texts.append(None if t is None else left.decode("utf-8") if runs else t)
+                counts.append((len(data), removed, n))
+            columns = [part.column(i) for i in range(len(names))]
+            columns[text] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, pa.int64()) for c in zip(*counts))], names=[*names, *counted])
 
     return joined.mapInArrow(run, schema)
-

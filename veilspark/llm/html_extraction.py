@@ -3,15 +3,23 @@
 Pages of a host are merged into one tree, whose nodes are taken in two ways: as the path of block
 elements (tag with id or first class), and as that path with, at each step, the style of the parent (its
 sequence of child blocks) and the place in it, so that siblings without names are told apart.  For each
-node are counted, over all pages of the host, the styles it is presented in and the contents it holds
-(the text below it).  The entropy of each count, relative to its maximum, is the node's importance: what
-looks and reads the same on page after page is template.  A branch is removed when its combined
-importance, taken either way, is below LOW on MIN_PAGES pages or more (on fewer than eight that is what
-reads the same on all of them), and when its element says itself that it isn't the article (FURNITURE, or a class or id made of
-such words).  Where a page marks an article, text outside of it goes too.
+node are counted, over the n pages of the host that have it, the looks it is presented in (the shape of
+the branch below it) and the contents it holds (the text below it).  The entropy of each count over its
+maximum, log n, is the node's presentation and content importance; their weighted mean is its importance.
+
+A text of its own on each page makes a content importance of 1.  A branch is low where the mean falls
+below that of a bare element whose text tells BITS less than which page it is on (`threshold`), as menus,
+notices and footers do that are drawn from a few variants; on hosts of fewer than MANY pages, where it is
+nearly the same on all of them.  Low branches are removed, whatever they are called.  A branch with most of a page's
+text must be much lower to go, so that articles that a host holds twice don't pass for template.
+
+What the markup says of itself is the prior for what the counts leave open.  Elements that can't be part
+of an article (CERTAIN) and classes, ids or roles made of such words (NAMES) go, but for a branch so named
+that looks and reads differently on almost every page; where a page marks an article, that article stays
+and what stands outside of it goes.
 
 The counts are grouped aggregations with map-side partial sums, so a host with a third of all pages is
-no heavier in any task than another.  Only removable nodes go back to the pages.
+no heavier in any task than another.  Only judged nodes go back to the pages.
 """
 
 from __future__ import annotations
@@ -19,262 +27,319 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
-from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage
+from .common import lookup, shipped, slices, stage
 
-LOW = 0.15
-MIN_PAGES = 3
+#: A node is judged from so many pages on; from MANY pages on by entropy, on fewer by sameness.
+LEAST, MANY = 3, 8
 #: Share of presentation in a node's importance; the rest is content.
-PRESENTATION = 0.1
-#: Removable nodes that may be broadcast (about 100 bytes each).
-BROADCAST_NODES = 50_000
+PRESENTATION = 0.2
+#: So many bits less than log n make a content that repeats.
+BITS = 0.25
+#: Importance below which a node of fewer than MANY pages is low: nearly the same on all of them.
+SAME = 0.2
+#: How much lower than low a branch with more than half of a page's text must be; how much higher a named one, to stay.
+MARGIN, PRIOR = 0.25, 0.2
+#: Judged nodes that may be broadcast (9 bytes each).
+BROADCAST_NODES = 500_000
+LOW, VERY_LOW, HIGH = 1, 2, 3
 
 #: Elements that never hold article text.
-FURNITURE = frozenset("head title nav header footer aside form menu dialog script style noscript template svg math iframe object embed applet audio video canvas button select option textarea input label datalist fieldset search".split())
+CERTAIN = frozenset("head title nav header footer aside form menu dialog script style noscript template svg math iframe object embed applet audio video canvas button select option textarea input label datalist fieldset search".split())
 #: Elements whose content is text up to their own end tag.
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img nobr".split())
 #: Elements that a new one of the same group closes, and what bounds that.
-CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
+PARAGRAPH = (("p",), ("button", "table", "td", "th", "caption", "object"))
 #: Words of a class, id or role that name what isn't the article.
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion outbrain taboola nav navbar navigation menu breadcrumb breadcrumbs topbar toolbar header masthead footer sidebar side aside rail widget related recommended trending popular share sharing social cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search searchbox comment comments comentarios kommentare commentaires disqus respond replies reply discussion copyright legal skip pagination pager complementary contentinfo".split()
 )
+#: Those of them that name reader comments, which look and read differently on every page.
+COMMENTS = frozenset("comment comments comentarios kommentare commentaires disqus respond replies reply discussion".split())
 ABOUT = (["has"], ["with"], ["no"], ["without"], ["not"])
 _WORDS = re.compile(r"[a-z]+|\d+")
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*>|[^>]*(?:>|\Z))", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?", re.S)
 _SPACE = re.compile(r"\s+")
+_MOD, _BASE = (1 << 61) - 1, 0x9E3779B97F4A7C15 % ((1 << 61) - 1)
 
 
-def _named(attrs: str) -> tuple[str, bool]:
-    """The part of a node's name that its attributes give, and whether they say that it isn't the article."""
+def _named(attrs: str) -> tuple[str, int]:
+    """The part of a node's name that its attributes give, and whether they say that it isn't the article: 0 no, 1 by its words, 2 for certain."""
     got = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
     # Ids number things, classes name them.
     name = "#" + re.sub(r"\d+", "0", got["id"]) if got.get("id") else "." + got["class"].split()[0] if got.get("class", "").split() else ""
-    out = "hidden" in got or got.get("aria-hidden") == "true"
+    out = 2 if "hidden" in got or got.get("aria-hidden") == "true" else 0
     for value in (got.get("class"), got.get("id"), got.get("role")):
         for part in (value or "").split():
             words = _WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", part).lower())
             # "with-sidebar" names what stands beside the article, not what isn't it.
-            out = out or (words[:1] not in ABOUT and any(w in NAMES for w in words))
+            if words[:1] not in ABOUT and any(w in NAMES for w in words):
+                out = max(out, 2 if any(w in COMMENTS for w in words) else 1)
     return name, out
 
 
-class Node:
-    __slots__ = ("tag", "path", "start", "children", "out", "article", "number", "inner")
-
-    def __init__(self, tag, path, start, out, article, number):
-        self.tag, self.path, self.start, self.children, self.out, self.article, self.number, self.inner = tag, path, start, [], out, article, number, []
+class Page:
+    """Block elements of a page in document order, as parallel lists, and its blocks of text.
 
+    parent, label (tag with id or class), says (what its own markup says: 0 nothing, 1 by its words that
+    it isn't the article, 2 for certain, 3 that it is, 4 that it is a form, which may be a whole page's),
+    first and last block.  Time and memory are linear in the page, however deep it is.
+    """
 
-def parse(page: str) -> tuple[list[tuple[str, str, bool, int, str]], list[tuple[str, str, int, int, str]]]:
-    """Blocks (path, text, furniture, number of the article or 0, placed path) and nodes (path, style, first and last block, placed path) of a page."""
-    blocks: list[tuple] = []
-    nodes: list[tuple] = []
-    made: list[tuple[int, int, str]] = [(0, 0, "")]  # parent, place and name of each node
-    inner: list[str] = [""]  # its sequence of child blocks
-    stack = [Node("", "", 0, False, 0, 0)]
-    pieces: list[str] = []
-    articles = 0
-
-    def flush() -> None:
-        if pieces:
-            text = _SPACE.sub(" ", html.unescape("".join(pieces))).strip()
-            pieces.clear()
-            if text:
-                top = stack[-1]
-                blocks.append((top.path, text, top.out, top.article, top.number))
-
-    def close() -> None:
-        flush()
-        top = stack.pop()
-        nodes.append((top.path, ">".join(dict.fromkeys(top.children)), top.start, len(blocks), top.number))
-        inner[top.number] = f"{zlib.crc32('>'.join(top.inner).encode('utf-8', 'replace')):08x}"
-
-    def close_upto(tags, bounds) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                while len(stack) > i:
-                    close()
-                return
-            if stack[i].tag in bounds:
-                return
-
-    at, n = 0, len(page)
-    while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            pieces.append(page[at:])
-            break
-        if m.start() > at:
-            pieces.append(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            if tag == "p" and not any(x.tag == "p" for x in stack):
+    def __init__(self, page: str):
+        self.parent, self.label, self.says, self.first, self.last = [-1], [""], [0], [0], [0]
+        self.children: list[list[int]] = [[]]
+        self.blocks: list[tuple[int, str]] = []  # element and text
+        self._read(page)
+
+    def _read(self, page: str) -> None:
+        tags, stack = [""], [0]  # tag of each element, elements that are open
+        opened: dict[str, list[int]] = defaultdict(list)  # depths at which each tag is open
+        pieces: list[str] = []
+
+        def flush() -> None:
+            if pieces:
+                text = _SPACE.sub(" ", html.unescape("".join(pieces))).strip()
+                pieces.clear()
+                if text:
+                    self.blocks.append((stack[-1], text))
+
+        def close(depth: int) -> None:
+            """Closes what is open from that depth on."""
+            flush()
+            while len(stack) > depth:
+                x = stack.pop()
+                self.last[x] = len(self.blocks)
+                opened[tags[x]].pop()
+
+        def close_nearest(group: tuple[str, ...], bounds: tuple[str, ...]) -> None:
+            at = max((opened[t][-1] for t in group if opened[t]), default=0)
+            if at and at > max((opened[t][-1] for t in bounds if opened[t]), default=0):
+                close(at)
+
+        at, n = 0, len(page)
+        while at < n:
+            m = _TOKEN.search(page, at)
+            if m is None:
+                pieces.append(page[at:])
+                break
+            if m.start() > at:
+                pieces.append(page[at : m.start()])
+            at = m.end()
+            if m[2] is None:
+                continue
+            tag = m[2].lower()
+            if m[1]:
+                if tag not in INLINE:
+                    if opened[tag]:
+                        close(opened[tag][-1])
+                    else:
+                        flush()
+                continue
+            if tag in RAW:
                 flush()
-            elif tag not in INLINE:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        while len(stack) > i:
-                            close()
-                        break
-                else:
-                    flush()
-            continue
-        if tag in RAW:
+                end = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(page, at)
+                at = end.start() if end else n
+                continue
+            if tag in INLINE:
+                continue
+            if tag in ("br", "hr"):
+                pieces.append(" ")
+                if tag == "br":
+                    continue
             flush()
-            end = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(page, at)
-            at = end.start() if end else n
-            stack[-1].children.append(tag)
-            continue
-        if tag in INLINE:
-            continue
-        if tag in ("br", "hr"):
-            pieces.append(" ")
-            if tag == "br":
+            if tag in VOID:
                 continue
+            close_nearest(*PARAGRAPH)  # any block ends a paragraph that is open
+            if tag in CLOSES:
+                close_nearest(*CLOSES[tag])
+            name, out = _named(m[3]) if "=" in m[3] or "hidden" in m[3] else ("", 0)
+            if tag in CERTAIN:
+                out = 4 if tag == "form" and not out else 2
+            elif tag == "main" or (tag == "article" and not (opened["article"] or opened["main"]) and "comment" not in name):
+                out = 3  # the article's own names don't count against it
+            elif tag in ("html", "body"):
+                out = 0
+            top, x = stack[-1], len(self.parent)
+            self.parent.append(top)
+            self.label.append(tag + name)
+            self.says.append(out)
+            self.first.append(len(self.blocks))
+            self.last.append(0)
+            self.children[top].append(x)
+            self.children.append([])
+            opened[tag].append(len(stack))
+            tags.append(tag)
+            stack.append(x)
+        close(1)
         flush()
-        if tag in VOID:
-            stack[-1].children.append(tag)
-            continue
-        # Any block ends a paragraph that is open.
-        close_upto({"p"}, {"button", "table", "td", "th", "caption", "object"})
-        if tag in CLOSES:
-            close_upto(*CLOSES[tag])
-        name, out = _named(m[3]) if "=" in m[3] or "hidden" in m[3] else ("", False)
-        top = stack[-1]
-        article = top.article
-        inside = any(x.tag in ("article", "main") for x in stack)
-        # A header or aside of the article itself is furniture like any other; the article's own names don't count against it.
-        out = top.out or tag in FURNITURE or (out and tag not in ("html", "body", "main") and not (tag == "article" and not inside and "comment" not in name))
-        if tag in ("article", "main") and not out and not article:
-            articles += 1
-            article = articles
-        top.children.append(tag + name)
-        made.append((top.number, len(top.inner), tag + name))
-        inner.append("")
-        top.inner.append(tag + name)
-        stack.append(Node(tag, f"{top.path}/{tag}{name}", len(blocks), out, article, len(made) - 1))
-    flush()
-    while stack:
-        close()
-    placed = [""]
-    for parent, place, label in made[1:]:
-        placed.append(f"{placed[parent]}/{label}@{inner[parent]}.{place}")
-    return [(*b[:4], placed[b[4]]) for b in blocks], [(*x[:4], placed[x[4]]) for x in nodes]
-
-
-def _under(path: str, low: frozenset | set) -> bool:
-    while path:
-        if path in low:
-            return True
-        path = path.rpartition("/")[0]
-    return False
-
-
-def main_text(page: str, low: frozenset | set = frozenset()) -> str:
-    """Article text of a page, without the branches whose paths, plain or placed, are in low."""
-    blocks, _ = parse(page)
-    plain = [b for b in blocks if not b[2]]
-    if any(b[3] for b in plain):
-        plain = [b for b in plain if b[3]]
-    if low:
-        some = [b for b in plain if not _under(b[0], low) and not _under(b[4], low)]
-        plain = some or plain  # a host that holds one page again and again has nothing that stands out
-    return " ".join(b[1] for b in plain)
-
-
-def host_of(url: str | None) -> str:
-    try:
-        return (urlsplit(url or "").hostname or "").lower()
-    except ValueError:
-        return ""
+        self.last[0] = len(self.blocks)
+
+    def keys(self) -> tuple[list[int], list[int]]:
+        """Numbers of 63 bits that name each element's plain and placed path."""
+        import xxhash
+
+        name = lambda above, label: xxhash.xxh3_64_intdigest(f"{above:x}/{label}") >> 1
+        style = [zlib.crc32(">".join([self.label[c] for c in own]).encode("utf-8", "replace")) for own in self.children]
+        plain, placed = [1], [2]
+        place = {c: i for own in self.children for i, c in enumerate(own)}
+        for x in range(1, len(self.parent)):
+            up = self.parent[x]
+            plain.append(name(plain[up], self.label[x]))
+            placed.append(name(placed[up], f"{self.label[x]}@{style[up]:x}.{place[x]}"))
+        return plain, placed
+
+    def digests(self) -> tuple[list[int], list[int]]:
+        """Numbers of 61 bits for the shape of each branch and for the text below it."""
+        import xxhash
+
+        own = [xxhash.xxh3_64_intdigest(t) % _MOD for _, t in self.blocks]
+        sums, power = [0], [1]
+        for d in own:
+            sums.append((sums[-1] * _BASE + d) % _MOD)
+            power.append(power[-1] * _BASE % _MOD)
+        reads = [(sums[b] - sums[a] * power[b - a]) % _MOD for a, b in zip(self.first, self.last)]
+        looks = [0] * len(self.parent)
+        for x in range(len(self.parent) - 1, -1, -1):  # children come after their parent
+            looks[x] = xxhash.xxh3_64_intdigest(f"{self.label[x]}>{','.join([f'{looks[c]:x}' for c in self.children[x]])}") % _MOD
+        return looks, reads
+
+    def counted(self) -> Iterator[tuple[int, int, int]]:
+        """Key, look and content of each of the page's nodes that hold text; elements of one plain path are one node."""
+        (plain, placed), (looks, reads) = self.keys(), self.digests()
+        merged: dict[int, list[int]] = {}
+        for x in range(1, len(self.parent)):
+            if self.last[x] > self.first[x]:
+                yield placed[x], looks[x], reads[x]
+                at = merged.setdefault(plain[x], [0, 0])
+                at[0] = (at[0] * _BASE + looks[x] + 1) % _MOD
+                at[1] = (at[1] * _BASE + reads[x] + 1) % _MOD
+        for key, (look, read) in merged.items():
+            yield key, look, read
+
+    def main_text(self, judged: dict[int, int] | None = None, marks: bool = True) -> str:
+        """The article's blocks, joined by single spaces; judged has LOW, VERY_LOW or HIGH for keys of the host's nodes.
+
+        Without marks the markup says nothing and the counts alone decide.
+        """
+        plain, placed = self.keys() if judged else ([], [])
+        size = [0]
+        for _, text in self.blocks:
+            size.append(size[-1] + len(text))
+        said, low = [0] * len(self.parent), [False] * len(self.parent)
+        for x in range(1, len(self.parent)):
+            up = self.parent[x]
+            found = (judged.get(plain[x]), judged.get(placed[x])) if judged else (None, None)
+            says, now = self.says[x] if marks else 0, said[up]
+            if says == 1 and HIGH in found:
+                says = 0
+            if says in (1, 2, 4) and now in (0, 3, 4) or (says, now) in ((2, 1), (3, 0), (3, 4)):
+                now = says  # a header or an aside of the article itself is furniture like any other
+            said[x], low[x] = now, low[up]
+            if now == 0 and not low[x]:
+                most = 2 * (size[self.last[x]] - size[self.first[x]]) > size[-1]
+                low[x] = VERY_LOW in found or (LOW in found and not most)
+        articles = [t for x, t in self.blocks if said[x] == 3]
+        # A host that holds one page again and again has nothing that stands out.
+        return " ".join(articles or [t for x, t in self.blocks if said[x] == 0 and not low[x]] or [t for x, t in self.blocks if said[x] == 0])
+
+
+def main_text(page: str, judged: dict[int, int] | None = None, marks: bool = True) -> str:
+    return Page(page).main_text(judged, marks)
+
+
+def host(url: Column) -> Column:
+    """The host that an address names, in lower case; '' if it names none."""
+    at = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?i)^\s*(?:[a-z][a-z0-9+.\-]*:)?//(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:]*)", 1)
+    return F.lower(F.trim(at))
+
+
+def _log2(x: Column) -> Column:
+    return F.log2(x.cast("double"))
+
+
+def threshold(n: Column) -> Column:
+    """Importance below which a node of n pages is low."""
+    return F.when(n >= MANY, (1 - PRESENTATION) * (1 - BITS / _log2(n))).otherwise(SAME)
 
 
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, path (plain or placed), pages and importance of each node of each host's style tree."""
-    out = pa.schema([("host", pa.string()), ("path", pa.string()), ("kind", pa.int8()), ("value", pa.int64())])
+    """host, key, n (pages) and importance of each node of each host's style tree that two pages or more have."""
+    out = pa.schema([("host", pa.string()), ("key", pa.int64()), ("kind", pa.int8()), ("value", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        digest = lambda x: xxhash.xxh3_64_intdigest(x) - (1 << 63)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part, rows = batch.slice(at, 128), []
-                for url, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    host = host_of(url)
-                    blocks, nodes = parse(page or "")
-                    here = set()
-                    for path, style, a, b, placed in nodes:
-                        # Nodes without text, and those that go by their element anyway, need no counts.
-                        if path and b > a and not blocks[a][2]:
-                            looks, reads = digest(style), digest("\n".join([x[1] for x in blocks[a:b]]))
-                            rows += [(host, path, 0, looks), (host, path, 1, reads), (host, placed, 0, looks), (host, placed, 1, reads)]
-                            here.add(path)
-                    rows += [(host, path, 2, 0) for path in here]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
-
-    seen = small_batches(pages).select(F.col(url_col).cast("string"), F.col(html_col).cast("string")).mapInArrow(run, "host string, path string, kind byte, value long")
-    each = seen.groupBy("host", "path", "kind", "value").agg(F.count(F.lit(1)).alias("c"))
-    # Plain paths may occur more than once in a page, which kind 2 counts once; placed ones can't.
-    sums = each.groupBy("host", "path", "kind").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log2("c")).alias("s"))
-    # Entropy of the counts over its maximum, log n; a node seen once is important.
-    share = F.when(F.col("n") > 1, (F.log2("n") - F.col("s") / F.col("n")) / F.log2("n")).otherwise(1.0)
-    weight = F.when(F.col("kind") == 0, PRESENTATION).when(F.col("kind") == 1, 1 - PRESENTATION).otherwise(0.0)
-    pages = F.coalesce(F.max(F.when(F.col("kind") == 2, F.col("n"))), F.max("n"))
-    return sums.groupBy("host", "path").agg(pages.alias("n"), F.sum(weight * share).alias("importance"))
-
-
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", low: float = LOW, least: int = MIN_PAGES) -> DataFrame:
+        for part in slices(batches, 128):
+            hosts, keys, kinds, values = [], [], [], []
+            for own, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                for key, look, read in Page(page or "").counted():
+                    hosts += (own, own)
+                    keys += (key, key)
+                    kinds += (0, 1)
+                    values += (look, read)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((hosts, keys, kinds, values), out)], schema=out)
+
+    seen = shipped(pages).select(host(F.col(url_col).cast("string")).alias("host"), F.col(html_col).cast("string").alias("html")).mapInArrow(run, "host string, key long, kind byte, value long")
+    each = seen.groupBy("host", "key", "kind", "value").agg(F.count(F.lit(1)).alias("c"))
+    sums = each.groupBy("host", "key", "kind").agg(F.sum("c").alias("n"), F.sum(F.col("c") * _log2(F.col("c"))).alias("s")).filter("n > 1")
+    # Entropy of the counts over its maximum, log n.
+    share = (_log2(F.col("n")) - F.col("s") / F.col("n")) / _log2(F.col("n"))
+    weight = F.when(F.col("kind") == 0, PRESENTATION).otherwise(1 - PRESENTATION)
+    return sums.groupBy("host", "key").agg(F.max("n").alias("n"), F.sum(weight * share).alias("importance"))
+
+
+def judged_nodes(tree: DataFrame) -> DataFrame:
+    """host, key and code (LOW, VERY_LOW or HIGH) of the nodes of which the counts say something."""
+    n, low, value = F.col("n"), threshold(F.col("n")), F.col("importance")
+    many = n >= MANY
+    # Rounding mustn't decide where a text is its own on each page.
+    code = F.when(value < low - F.when(many, MARGIN).otherwise(0.0), VERY_LOW).when(value < low - 1e-9, LOW).when(many & (value >= low + PRIOR - 1e-9), HIGH)
+    return tree.filter(n >= LEAST).select("host", "key", code.cast("byte").alias("code")).filter("code IS NOT NULL")
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", marks: bool = True) -> DataFrame:
     """page_id, url, text: the main text of each page, blocks in page order joined by single spaces.
 
     Null html counts as empty and gives an empty text; a null or broken url belongs to the host ''.
     Repeated rows give repeated rows, and an empty table none.  Broken markup is read as browsers do:
     paragraphs and list items close themselves, unknown ends are skipped, open elements end with the page.
+    Other columns, whatever their names, are not looked at.  Without marks the style tree alone decides.
     """
-    nodes = style_tree(pages, url_col, html_col).filter((F.col("importance") < low) & (F.col("n") >= least)).select(F.col("host").alias("_host"), "path")
-    lists = nodes.groupBy("_host").agg(F.collect_set("path").alias("_low"))
-    # What lies below a removable node goes with it.
-    lists = stage(lists.select("_host", F.expr("filter(_low, x -> not exists(_low, y -> startswith(x, concat(y, '/'))))").alias("_low")).withColumn("_n", F.size("_low")))
-    size = lists.agg(F.sum("_n")).first()[0] or 0
-    rows = small_batches(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    nodes = judged_nodes(style_tree(pages, url_col, html_col))
+    lists = nodes.groupBy("host").agg(F.collect_list("key").alias("keys"), F.collect_list("code").alias("codes"))
+    lists = stage(lists.withColumn("size", F.size("keys").cast("long")))
+    size = lists.agg(F.sum("size")).first()[0] or 0
+    url = F.col(url_col).cast("string")
+    rows = shipped(pages).select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), F.col(html_col).cast("string").alias("html"), host(url).alias("host"))
+    out = "page_id long, url string, text string"
     if size <= BROADCAST_NODES:
-        known = {r._host: frozenset(r._low) for r in lists.collect()}
+        known = {r.host: dict(zip(r["keys"], r["codes"])) for r in lists.collect()}
         shared = pages.sparkSession.sparkContext.broadcast(known)
-        return rows.mapInArrow(_texts(lambda url, _: shared.value.get(host_of(url), frozenset())), "page_id long, url string, text string")
-    salts = 32
-    hosts = rows.select("page_id", "url", "html", _host(F.col("url")).alias("host"), F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).alias("salt"))
-    wide = lists.select("_host", "_low", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("_salt"))
-    joined = hosts.join(wide, (hosts.host == wide._host) & (hosts.salt == wide._salt), "left").select("page_id", "url", "html", "_low")
-    return joined.mapInArrow(_texts(lambda _, own: frozenset(own or ())), "page_id long, url string, text string")
-
-
-def _host(url):
-    """host_of as an expression."""
-    at = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?i)^(?:[a-z][a-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:\[\]]*)", 1)
-    return F.lower(at)
+        return rows.mapInArrow(_texts(lambda: shared.value, marks), out)
+    hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    by = stage(lists.join(hosts, "host"))
+    joined = lookup(rows, by, "host", "pages", ["keys", "codes"])
+    return joined.mapInArrow(_texts(None, marks), out)
 
 
-def _texts(low):
+def _texts(known, marks: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                own = part.column(3).to_pylist() if part.num_columns > 3 else [None] * part.num_rows
-                texts = [main_text(page or "", low(url, mine)) for url, page, mine in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), own)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+        for part in slices(batches, 128):
+            if known is not None:
+                every = known()
+                judged = [every.get(h) for h in part.column(3).to_pylist()]
+            else:
+                judged = [dict(zip(k, c)) if k else None for k, c in zip(part.column(4).to_pylist(), part.column(5).to_pylist())]
+            texts = [main_text(page or "", own, marks) for page, own in zip(part.column(2).to_pylist(), judged)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     return run

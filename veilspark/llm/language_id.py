@@ -1,14 +1,15 @@
 """Operator 4: language identification by Bayesian fusion of evidence.
 
-Four kinds of evidence meet in one posterior per row, as sums of logarithms:
+Three kinds of evidence meet in one posterior per row, as sums of logarithms:
 - the text: multinomial likelihoods of hashed byte trigrams, tempered, since trigrams aren't independent;
-- the language that the markup declares, and the address's suffix, each by how often it goes with each
-  language over all rows (grouped counts of the text's own posteriors, smoothed);
-- the host's prior: the mean of its rows' posteriors, smoothed towards its suffix's, which is smoothed
-  towards the mean of all rows.
+- the language that the markup declares, by how often it goes with each language over all rows (grouped
+  sums of the texts' own posteriors, smoothed);
+- the prior of the host: the mean of its other rows' posteriors, smoothed towards that of its address's
+  suffix, which is smoothed towards the mean of all rows.
+So a suffix counts once, as the host's parent, and a row's own text is no evidence for its own prior.
 The trigram model is fitted on at most SAMPLE labelled documents per language, the first by a hash of
-their id.  The counts cover all rows.  Hosts look their prior up by common.lookup, so a host with a
-third of all rows is no hot key.
+their id.  The sums cover all rows.  Rows look up what their host, suffix and declared language have by
+common.lookup, so a host with a third of all rows is no hot key.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lookup, small_batches, stage
-from .html_extraction import _host, parse
+from .common import lookup, shipped, slices, stage
+from .html_extraction import Page, host
 
 SAMPLE = 1500
 #: Languages whose trigrams are added up at a time.
@@ -30,10 +31,16 @@ BLOCK = 64
 CELLS = 1 << 15
 #: The text's evidence counts as so many trigrams at most.
 TEMPER = 60.0
-#: Pseudo-rows of a parent in a child's prior, and of each value in the counts of declared languages and suffixes.
+#: Pseudo-rows of a parent in a child's prior, and of each value in the counts of declared languages.
 HOST_ROWS = 5.0
 VALUE_ROWS = 1.0
-_DECLARED = re.compile(r"<html\b[^>]*?\s(?:xml:)?lang\s*=\s*[\"']?\s*([A-Za-z]{2,3})", re.I)
+_DECLARED = re.compile(r"<html\b[^>]*?\s(?:xml:)?lang\s*=\s*[\"']?\s*([A-Za-z]{2,3})(?![A-Za-z])", re.I)
+
+
+def two_letters(spark) -> dict[str, str]:
+    """The two-letter code of each language whose three-letter code the Java library knows."""
+    locale = spark._jvm.java.util.Locale
+    return {locale.forLanguageTag(x).getISO3Language(): x for x in locale.getISOLanguages()}
 
 
 def cells(data: bytes) -> np.ndarray:
@@ -72,7 +79,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = counts((text or "").encode("utf-8", "replace"))
                 total[index[lang]] = total[index[lang]] + own if index[lang] in total else own
@@ -81,7 +88,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
             if len(some):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), i)), pa.array(some), pa.array(own[some])], names=["l", "c", "n"])
 
-    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = shipped(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.join(F.broadcast(chosen), "doc_id").select("text", "_lang").mapInArrow(run, "l long, c long, n long")
     got = rows.groupBy("l", "c").agg(F.sum("n").alias("n")).toArrow()  # CELLS rows for each language at most
     table = np.full((len(langs), CELLS), 0.5)
@@ -90,20 +97,25 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
 
 
 def likelihoods(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """row key, host, suffix, declared and p (the text's own posterior under equal priors) of rows(key, host, url, body, is_html)."""
+    """rows(doc_id, page_id, url, host, body, is_html) with declared and p (the text's own posterior under equal priors) for the last two.
+
+    A declared language is its code of two letters, or of three where there is none of two.
+    """
     langs, table = model
+    short = two_letters(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(table.astype(np.float32))  # CELLS numbers for each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             declared, posts = [], []
             for body, is_html in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist()):
                 body = body or ""
                 said = _DECLARED.search(body) if is_html else None
-                declared.append(said[1].lower()[:2] if said else None)
+                declared.append(short.get(said[1].lower(), said[1].lower()) if said else None)
                 if is_html:
-                    body = " ".join(b[1] for b in parse(body)[0] if not b[2])
+                    page = Page(body)
+                    body = " ".join([t for x, t in page.blocks if page.says[x] != 2])
                 data = body.encode("utf-8", "replace")
                 score, n = np.zeros(len(langs)), 0
                 for at in range(0, len(data), 1 << 16):
@@ -114,49 +126,45 @@ def likelihoods(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFra
                 score *= min(1.0, TEMPER / n) if n else 0.0
                 p = np.exp(score - score.max())
                 posts.append((p / p.sum()).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.array(declared, pa.string()), pa.array(posts, pa.list_(pa.float64()))], names=["doc_id", "page_id", "url", "host", "declared", "p"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), batch.column(5), pa.array(declared, pa.string()), pa.array(posts, pa.list_(pa.float64()))], names=["doc_id", "page_id", "url", "host", "is_html", "declared", "p"])
 
-    return small_batches(rows).mapInArrow(run, "doc_id long, page_id long, url string, host string, declared string, p array<double>")
-
-
-def _mean(p: Column, k: int) -> list[Column]:
-    return [F.sum(p[i]).alias(f"s{i}") for i in range(k)]
+    return shipped(rows).mapInArrow(run, "doc_id long, page_id long, url string, host string, is_html boolean, declared string, p array<double>")
 
 
 def fuse(rows: DataFrame, langs: list[str]) -> DataFrame:
-    """rows with lang, confidence and text_lang, from p and the evidence of host, suffix and declared language."""
+    """rows(host, suffix, declared, p, ..) with lang, confidence and text_lang in the place of p.
+
+    Missing evidence is neutral, and ties go to the language that comes first.  A row's own p is taken
+    out of the sums of its host, its suffix and all rows before they become its prior.
+    """
     k = len(langs)
-    total = rows.agg(F.count(F.lit(1)).alias("n"), *_mean(F.col("p"), k)).first()
-    if not total.n:
-        base = [1 / k] * k
-    else:
-        base = [(total[f"s{i}"] + 1.0) / (total.n + k) for i in range(k)]
-
-    def value(column: str) -> DataFrame:
-        """log P(value | language) for each value of a column, from counts over all rows."""
-        n_values = rows.agg(F.approx_count_distinct(column)).first()[0] + 1
-        by = rows.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"), *_mean(F.col("p"), k))
-        sums = by.agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(k)]).first()
-        like = [F.log((F.col(f"s{i}") + VALUE_ROWS) / F.lit((sums[f"s{i}"] or 0.0) + VALUE_ROWS * n_values)) for i in range(k)]
-        return by.select(F.col(column).alias("key"), "n", F.array(*like).alias(f"{column}_like"))
-
-    suffix = rows.groupBy(F.coalesce("suffix", F.lit("")).alias("suffix")).agg(F.count(F.lit(1)).alias("n"), *_mean(F.col("p"), k))
-    parent = suffix.select("suffix", F.array(*[(F.col(f"s{i}") + HOST_ROWS * base[i]) / (F.col("n") + HOST_ROWS) for i in range(k)]).alias("parent"))
-    hosts = rows.groupBy("host").agg(F.first(F.coalesce("suffix", F.lit(""))).alias("suffix"), F.count(F.lit(1)).alias("n"), *_mean(F.col("p"), k))
-    prior = [F.log((F.col(f"s{i}") + HOST_ROWS * F.col("parent")[i]) / (F.col("n") + HOST_ROWS)) for i in range(k)]
-    hosts = hosts.join(parent, "suffix").select(F.col("host").alias("key"), "n", F.array(*prior).alias("prior"))
-    out = rows
-    zero = F.array(*[F.lit(0.0)] * k)
-    for column, by, made in (("declared", value("declared"), "declared_like"), ("suffix", value("suffix"), "suffix_like"), ("host", hosts, "prior")):
-        out = lookup(out.withColumn("key", F.coalesce(F.col(column), F.lit(""))), stage(by), "key", "n", [made]).drop("key")
-        out = out.withColumn(made, F.coalesce(made, zero))
-    score = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.log(F.greatest(F.col("p")[i], F.lit(1e-30))) + F.col("declared_like")[i] + F.col("suffix_like")[i] + F.col("prior")[i])
-    out = out.withColumn("score", score)
-    top = F.array_max("score")
+    mean = [F.count(F.lit(1)).alias("n"), F.array(*[F.sum(F.col("p")[i]) for i in range(k)]).alias("s")]
+    n_all, s_all = (lambda base: (base.n, [x or 0.0 for x in base.s]))(rows.agg(*mean).first())
+    # Hosts of documents and of pages are different things, whatever their names.
+    kind = F.when(F.col("is_html"), "host ").otherwise("source ")
+    keyed = rows.withColumns({"_host": F.concat(kind, "host"), "_suffix": F.concat(kind, F.coalesce("suffix", F.lit("")))})
+    hosts, suffixes = (stage(keyed.groupBy(c).agg(*mean).select(c, "n", F.struct("n", "s").alias(f"of{c}"))) for c in ("_host", "_suffix"))
+    values = stage(rows.filter("declared IS NOT NULL").groupBy("declared").agg(*mean))
+    n_values = values.count() + 1
+    total = values.agg(F.array(*[F.sum(F.col("s")[i]) for i in range(k)]).alias("s")).first().s
+    like = F.array(*[F.log((F.col("s")[i] + VALUE_ROWS) / F.lit((total[i] or 0.0) + VALUE_ROWS * n_values)) for i in range(k)])
+    out = lookup(keyed, hosts, "_host", "n", ["of_host"])
+    out = lookup(out, suffixes, "_suffix", "n", ["of_suffix"])
+    out = lookup(out, values.select("declared", "n", like.alias("like")), "declared", "n", ["like"])
+
+    def score(i: int) -> Column:
+        p = F.col("p")[i]
+        all_rows = (F.lit(s_all[i]) - p + 1.0) / (n_all - 1 + k)
+        parent = (F.col("of_suffix.s")[i] - p + HOST_ROWS * all_rows) / (F.col("of_suffix.n") - 1 + HOST_ROWS)
+        prior = (F.col("of_host.s")[i] - p + HOST_ROWS * parent) / (F.col("of_host.n") - 1 + HOST_ROWS)
+        # Sums of doubles may fall a trace short of a term of theirs.
+        return F.log(F.greatest(p, F.lit(1e-30))) + F.coalesce(F.col("like")[i], F.lit(0.0)) + F.log(F.greatest(prior, F.lit(1e-12)))
+
+    out = out.withColumn("score", F.array(*[score(i) for i in range(k)]))
     names = F.array(*[F.lit(x) for x in langs])
     return out.select(
-        *[c for c in rows.columns if c != "p"],
-        F.element_at(names, F.array_position("score", top).cast("int")).alias("lang"),
+        *[c for c in rows.columns if c not in ("p", "is_html")],
+        F.element_at(names, F.array_position("score", F.array_max("score")).cast("int")).alias("lang"),
         (1 / F.aggregate(F.transform("score", lambda x: F.exp(x - F.array_max("score"))), F.lit(0.0), lambda a, x: a + x)).alias("confidence"),
         F.element_at(names, F.array_position("p", F.array_max("p")).cast("int")).alias("text_lang"),
     )
@@ -168,13 +176,14 @@ def identify(docs: DataFrame | None, pages: DataFrame | None, model: tuple[list[
     A document's host is its source; it declares nothing and has no suffix.  Missing evidence is neutral:
     an empty or null text leaves the priors to decide, a null url belongs to the host ''.  Ties go to
     the language that comes first in the alphabet.  Repeated rows give repeated rows; an empty table none.
+    Other columns, whatever their names, are not looked at.
     """
     parts = []
     if docs is not None:
         parts.append(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.col("text").cast("string").alias("body"), F.lit(False).alias("is_html")))
     if pages is not None:
-        parts.append(pages.select(F.lit(None).cast("long").alias("doc_id"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), _host(F.col("url")).alias("host"), F.col("html").cast("string").alias("body"), F.lit(True).alias("is_html")))
+        parts.append(pages.select(F.lit(None).cast("long").alias("doc_id"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host(F.col("url")).alias("host"), F.col("html").cast("string").alias("body"), F.lit(True).alias("is_html")))
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    suffix = F.when(F.col("page_id").isNotNull() | F.col("url").isNotNull(), F.regexp_extract("host", r"\.([a-z][a-z0-9\-]*)$", 1))
+    suffix = F.when(F.col("is_html"), F.regexp_extract("host", r"\.([a-z][a-z0-9\-]*)$", 1))
     scored = likelihoods(rows, model).withColumn("suffix", F.when(suffix != "", suffix))
     return fuse(stage(scored), model[0])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import shipped, slices
 
 CUT = 170
 WINDOWS = 256
@@ -148,14 +148,18 @@ class Packer:
 def _own(vocabulary: str):
     from tokenizers import Tokenizer
 
-    own = Tokenizer.from_str(vocabulary)
-    own.encode_special_tokens = True
-    return own
+    return Tokenizer.from_str(vocabulary)
+
+
+@lru_cache(1)
+def _special(vocabulary: str) -> tuple[str, ...]:
+    """The tokens that the file's encoder takes out of a text before it splits the rest."""
+    return tuple(t["content"] for t in json.loads(vocabulary).get("added_tokens", ()))
 
 
 @lru_cache(1)
 def _ranks(vocabulary: str):
-    """A faster encoder to the same ids, from the ranks of the file's vocabulary."""
+    """A faster encoder to the same ids for texts without special tokens, from the ranks of the file's vocabulary."""
     import public_tokenizers
     import tiktoken
 
@@ -163,17 +167,19 @@ def _ranks(vocabulary: str):
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
     file = json.loads(vocabulary)
-    special = {t["content"] for t in file.get("added_tokens", ())}
+    special = set(_special(vocabulary))
     ranks = {bytes(byte[c] for c in t): i for t, i in file["model"]["vocab"].items() if t not in special}
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def encode(text: str, vocabulary: str) -> list[int]:
-    """The file's own encoder decides beyond Latin-1, where the two could split texts by other Unicode tables."""
+    """The file's own encoder decides where a text holds a special token, and beyond Latin-1, where the two could split texts by other Unicode tables."""
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:
         return _own(vocabulary).encode(text, add_special_tokens=False).ids
+    if any(t in text for t in _special(vocabulary)):
+        return _own(vocabulary).encode(text, add_special_tokens=False).ids
     return _ranks(vocabulary).encode_ordinary(text)
 
 
@@ -194,23 +200,21 @@ def pack_sequences(docs: DataFrame, tokenizer: str, capacity: int = 1024, separa
         from pyspark import TaskContext
 
         packer, rows, held = Packer(capacity, TaskContext.get().partitionId() << 40), [], 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    ids = array("I", encode(text or "", shared.value))
-                    ids.append(separator)
-                    new = packer.take(doc, np.frombuffer(ids, np.uint32))
-                    rows += new
-                    held += sum(len(r[-1]) for r in new)
-                    if held >= 4 << 20:
-                        yield _batch(rows)
-                        rows, held = [], 0
+        for part in slices(batches):
+            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                ids = array("I", encode(text or "", shared.value))
+                ids.append(separator)
+                new = packer.take(doc, np.frombuffer(ids, np.uint32))
+                rows += new
+                held += sum(len(r[-1]) for r in new)
+                if held >= 4 << 20:
+                    yield _batch(rows)
+                    rows, held = [], 0
         rows += packer.end()
         if rows:
             yield _batch(rows)
 
-    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return shipped(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

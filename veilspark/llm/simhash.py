@@ -24,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, lookup, small_batches, stage, without_ids
+from .common import BROADCAST_IDS, lookup, shipped, slices, stage, without_ids
 
 KEPT = 3
 BLOCK = 1 << 15
+#: So many edges fit one task, whatever their nodes.
+TASK_EDGES = 1_000_000
 #: Names of nodes without any doc_id begin here.
 NAMELESS = 2**63 - 1 - 2**40
 #: Bytes of shingle sets that a task compares with as many others.
@@ -220,24 +222,35 @@ def _runs(batches: Iterator[pa.RecordBatch], words: int, radius: int) -> Iterato
 # -- connected components --------------------------------------------------------------------------
 
 
-def components(edges: DataFrame, most: int = 50) -> DataFrame:
-    """(node, root): the smallest id that each linked node reaches, from edges (a, b), by large-star and small-star steps."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): the smallest id that each linked node reaches, from edges (a, b), by large-star and small-star steps.
+
+    The steps go on until nothing changes, some log of the longest path times.  A node's neighbours meet
+    its least one in a join; of more than TASK_EDGES edges, where a node that a third of all others hang
+    on would be too much for a task, by common.lookup.
+    """
     edges = stage(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
-    for _ in range(most):
+    before, n = None, edges.count()
+    while n:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.join(least, both.a == least.u).filter("b > u").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-        small = large.join(least, large.a == least.u).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        edges = stage(small.filter("a <> b").distinct())
+        large = _beside_least(both, n > TASK_EDGES).filter("b > a").select(F.col("b").alias("a"), F.least(F.col("a"), F.col("m")).alias("b")).distinct()
+        small = _beside_least(stage(large) if n > TASK_EDGES else large, n > TASK_EDGES)
+        edges = stage(small.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct())
         now = edges.agg(F.count(F.lit(1)), F.countDistinct("a"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before or now[0] == 0:
+        if now == before:
             break
-        before = now
+        before, n = now, now[0]
     return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
 
 
+def _beside_least(rows: DataFrame, hot: bool) -> DataFrame:
+    """rows (a, b) with m, the least b of each a."""
+    least = rows.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    if hot:
+        return lookup(rows, stage(least), "a", "n", ["m"])
+    return rows.join(least.select(F.col("a").alias("u"), "m"), F.col("a") == F.col("u")).select("a", "b", "m")
+
+
 # -- the operator ----------------------------------------------------------------------------------
 
 
@@ -262,19 +275,17 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, more: int = 1,
     out = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                hashes = [shingle_hashes(t or "", words, seed) for t in part.column(1).to_pylist()]
-                hashes = [np.unique(h) for h in hashes] if distinct else hashes
-                fps = np.array([fingerprint(h, more) for h in hashes], np.uint64).view(np.int64)
-                columns = [part.column(0), *(pa.array(fps[:, i]) for i in range(more))]
-                if bands:
-                    columns.append(pa.array([sketch_keys(h, *bands) for h in hashes], pa.list_(pa.int64())))
-                yield pa.RecordBatch.from_arrays(columns, schema=out)
+        for part in slices(batches):
+            hashes = [shingle_hashes(t or "", words, seed) for t in part.column(1).to_pylist()]
+            hashes = [np.unique(h) for h in hashes] if distinct else hashes
+            fps = np.array([fingerprint(h, more) for h in hashes], np.uint64).view(np.int64)
+            columns = [part.column(0), *(pa.array(fps[:, i]) for i in range(more))]
+            if bands:
+                columns.append(pa.array([sketch_keys(h, *bands) for h in hashes], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(columns, schema=out)
 
     schema = ", ".join(f"{n} {'array<long>' if n == 'keys' else 'long'}" for n, _ in fields)
-    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return shipped(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3, seed: int = 42, more: int = 1, bands: tuple[int, int] | None = None, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", distinct: bool = False) -> DataFrame:
@@ -283,8 +294,9 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3, seed: i
     Without bands the blocks are the exact ones described above.  With bands, fingerprints meet where
     a band of their shingles' sketch agrees, which allows radii that no exact blocks could serve.
     A text without words has fingerprint zero and is linked like any other.  A null doc_id keeps its
-    row and is linked, but never names a component unless the component has no other.  Rows that
-    repeat are rows of one component; an empty table gives no rows.
+    row and is linked, but never names a component: one without any doc_id has a null component_id.
+    Rows that repeat are rows of one component; an empty table gives no rows.  Ids must be below
+    NAMELESS, where the names of fingerprints without any doc_id begin (by 40 bits of their hash).
     """
     fps = [f"fp{i}" for i in range(more)]
     rows = stage(fingerprints(docs, words, seed, more, bands, id_col, text_col, distinct))
@@ -379,11 +391,10 @@ def _sets(docs: DataFrame, nodes: DataFrame, words: int, more: int, id_col: str,
     out = pa.schema([("key", pa.string()), ("set", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                own = [np.unique(shingle_hashes(t or "", words, 42)) for t in batch.column(1).slice(at, 256).to_pylist()]
-                keys = [",".join(map(str, np.array(fingerprint(h, more), np.uint64).view(np.int64).tolist())) for h in own]
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([h.tobytes() for h in own], pa.binary())], schema=out)
+        for part in slices(batches):
+            own = [np.unique(shingle_hashes(t or "", words, 42)) for t in part.column(1).to_pylist()]
+            keys = [",".join(map(str, np.array(fingerprint(h, more), np.uint64).view(np.int64).tolist())) for h in own]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([h.tobytes() for h in own], pa.binary())], schema=out)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ids = nodes.filter(F.col("node") < NAMELESS).select(F.col("node").alias("_node"))
@@ -391,7 +402,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, words: int, more: int, id_col: str,
     own = rows.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("_node"), "left_semi")
     if nodes.filter(F.col("node") >= NAMELESS).limit(1).count():
         own = own.unionByName(rows.filter("doc_id is null"))
-    return small_batches(own).mapInArrow(run, "key string, set binary")
+    return shipped(own).mapInArrow(run, "key string, set binary")
 
 
 def _confirmed(docs: DataFrame, fps: list[str], names: DataFrame, edges: DataFrame, words: int, radius: int, least: float, piece: int, id_col: str, text_col: str) -> DataFrame:

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, lookup, small_batches, stage
+from .common import BROADCAST_IDS, lookup, shipped, slices, stage
 
 WINDOW = 50
 GRAM = 20
@@ -45,6 +45,8 @@ BLOCK_BYTES = 16 << 20
 BUCKET_BYTES = 1 << 20
 ARRAY_BYTES = 1_200_000
 HOT = 12_000
+#: Two thirds of an array's places are sampled, and their names must fit 20 bits.
+LONGEST = (1 << 20) * 3 // 2 - 8
 _U = np.uint64
 _ODD = 0x9E3779B97F4A7C15
 
@@ -119,6 +121,8 @@ def unpack(data: bytes) -> list[np.ndarray]:
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """Order of the suffixes of s (positive integers below 2 ** 20, at most 2 ** 20 * 1.5 of them), by difference cover modulo 3."""
     n = len(s)
+    if n > LONGEST:
+        raise ValueError(f"an array of {n} places overflows the fields of its triples; {LONGEST} is the most")
     if n < 3:
         return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int64)
     t = np.zeros(n + 3, np.int64)
@@ -245,7 +249,7 @@ def _send_anchors(buckets: int):
                 out.append((int(where[a]), 2, block, pack((k[a:b] & _U(0xFFFFFFFF)).astype(np.uint32), (k[a:b] >> _U(32) & _U(0xFFFF)).astype(np.uint16), r[a:b], o[a:b], c[a:b])))
             return _rows(_SIEVE, out)
 
-        for batch in batches:
+        for batch in slices(batches):
             for d, h, text in zip(*(c.to_pylist() for c in batch.columns)):
                 data = (text or "").encode("utf-8", "replace")
                 key, _, _ = anchors(data)
@@ -270,7 +274,7 @@ def _send_anchors(buckets: int):
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
     """Neighbouring rows of one bucket, whose number is the first column."""
     at, held = None, []
-    for batch in batches:
+    for batch in slices(batches, 16):
         for row in zip(*(c.to_pylist() for c in batch.columns)):
             if row[0] != at and held:
                 yield at, held
@@ -368,7 +372,7 @@ def _send_texts(buckets: int):
             if out:
                 yield _rows(_TEXTS, out)
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc, h, text, data in zip(*(c.to_pylist() for c in batch.columns)):
                 raw = (text or "").encode("utf-8", "replace")
                 key, first, last = anchors(raw)
@@ -493,11 +497,17 @@ def _copies(rows: DataFrame) -> DataFrame:
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, 1000):
         if batch.num_rows:
             yield _rows(_RUNS, [(d, h, _pack_runs([(0, n)])) for d, h, n in zip(*(c.to_pylist() for c in batch.columns))])
 
 
+def _dealt(rows: DataFrame, least: int, *others: str) -> DataFrame:
+    """rows by bucket, those of none (below 0) by other columns, over as many tasks as their number of buckets asks for, if the session asks for fewer."""
+    tasks = max(least, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(tasks, F.when(F.col("bucket") < 0, F.xxhash64(*others)).otherwise(F.col("bucket"))).sortWithinPartitions("bucket")
+
+
 def remove_repeats(docs: DataFrame, digests: bool = False, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the bytes kept (their SHA-256 in hex as kept_sha256, with digests).
 
@@ -507,7 +517,9 @@ def remove_repeats(docs: DataFrame, digests: bool = False, hot: int = HOT, id_co
     keeps its text and removes none.  Rows that repeat a doc_id are one document: none of them removes
     from another.  Other columns aren't looked at; an empty table gives no rows.
     """
-    small_batches(docs)
+    if (hot + 1) * (WINDOW + SPAN + 1) > LONGEST:
+        raise ValueError(f"{hot} places of one anchor don't fit one array")
+    shipped(docs)
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).cast("string").alias("_x"), text.alias("text"))
     rows = rows.select("doc_id", F.hash("_x").alias("h"), "text")
@@ -518,15 +530,15 @@ def remove_repeats(docs: DataFrame, digests: bool = False, hot: int = HOT, id_co
     own = rows.join(F.broadcast(gone) if few else gone, on(gone), "left_anti")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # About eight megabytes of packed anchors a bucket at most, whatever the input.
-    sieve_buckets = max(256, total // (16 << 20))
+    sieve_buckets = int(max(256, total // (16 << 20)))
     sent = own.mapInArrow(_send_anchors(sieve_buckets), _SIEVE)
     # Directories go where their block's number says, the rest by bucket.
-    dealt = sent.repartition(F.when(F.col("bucket") < 0, F.col("block")).otherwise(F.col("bucket"))).sortWithinPartitions("bucket")
+    dealt = _dealt(sent, sieve_buckets // 4, "block")
     replies = dealt.mapInArrow(_sieve(hot), _REPLY)
     wanted = stage(replies.groupBy("block").applyInArrow(_answers, "doc_id long, h int, data binary").groupBy("doc_id", "h").agg(F.min("data").alias("data")))
     size = wanted.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     # An answer is about a byte an anchor, an anchor about seventy bytes of text.
-    buckets = max(64, size * 70 // BUCKET_BYTES)
+    buckets = int(max(64, size * 70 // BUCKET_BYTES))
     w = wanted.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "data")
     # The texts are dealt by document once; the join at the end reads the same shuffle.
     # Both joins name the columns anew, in the same way: only then Spark sees one shuffle in the two.
@@ -534,7 +546,7 @@ def remove_repeats(docs: DataFrame, digests: bool = False, hot: int = HOT, id_co
     at = lambda df: (F.col("_doc") == df["_d"]) & (F.col("_of") == df["_h"])
     met = named().join(w.hint("shuffle_hash"), at(w), "inner")
     texts = met.select(F.col("_doc").alias("doc_id"), F.col("_of").alias("h"), F.col("_text").alias("text"), "data").mapInArrow(_send_texts(buckets), _TEXTS)
-    placed = texts.repartition(F.when(F.col("bucket") < 0, F.col("doc_id")).otherwise(F.col("bucket"))).sortWithinPartitions("bucket")
+    placed = _dealt(texts, buckets // 8, "doc_id", "h", "data")
     found = placed.mapInArrow(_arrays, _RUNS).unionByName(copies.mapInArrow(_whole, _RUNS))
     runs = found.groupBy("doc_id", "h").agg(F.collect_list("data").alias("runs")).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "runs")
     all_rows = named().join(runs.hint("shuffle_hash"), at(runs), "left").select(F.col("_doc").alias("doc_id"), F.col("_text").alias("text"), "runs")
@@ -542,7 +554,7 @@ def remove_repeats(docs: DataFrame, digests: bool = False, hot: int = HOT, id_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = ("kept_sha256", pa.string()) if digests else ("kept", pa.binary())
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for doc, own, got in zip(*(c.to_pylist() for c in batch.columns)):
                 data = (own or "").encode("utf-8", "replace")

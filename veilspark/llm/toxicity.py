@@ -1,10 +1,12 @@
 """Operator 5: toxicity by gradient-boosted trees over dense features, with isotonic calibration.
 
-The lexicon is learnt from the labelled sample: whole words and word beginnings of four and five bytes
-that many toxic documents hold and hardly any other.  Features of a text are rates of lexicon hits by
-strength, their nearness to second-person words, capitals, punctuation and obfuscation.  At most
-SAMPLE labelled rows are used, the first by a hash of their id; only their features (SAMPLE rows of
-about 30 numbers) and the lexicon's counts reach the driver.  Scoring is one pass without a shuffle.
+The lexicon is learnt from the labelled sample: all whole words and word beginnings of four and five
+bytes that at least LEAST toxic documents hold (or the share LEAST_SHARE of them) and that are by
+LEVELS[0] in log odds more frequent in those than in others.  Features of a text are rates of lexicon
+hits by strength, their nearness to second-person words, capitals, punctuation and obfuscation.  The one
+bound is `sample`: at most so many labelled documents are fitted on, the first by a hash of their id.
+Only their features (`sample` rows of about 30 numbers) and the counts of their frequent terms reach the
+driver.  Scoring is one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage
+from .common import shipped, slices, stage
 
 SAMPLE = 20_000
-TERMS = 400
+LEAST, LEAST_SHARE = 4, 0.004
 TREES, DEPTH, RATE, BINS = 80, 4, 0.15, 64
 FOLDS = 5
 
@@ -201,12 +203,6 @@ class Model:
 # -- on tables -------------------------------------------------------------------------------------
 
 
-def _texts(batches: Iterator[pa.RecordBatch], step: int = 256) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, step):
-            yield batch.slice(at, step)
-
-
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model from the labelled rows whose crc32(id as text) mod FOLDS isn't 0, at most `sample` of them."""
     crc = F.crc32(F.col("doc_id").cast("string"))
@@ -214,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     known = known.filter(crc % FOLDS != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # At most `sample` ids and flags, so that the texts are met where they are read.
     known = stage(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = shipped(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic")
     both = known.agg(F.count_if("toxic"), F.count_if(~F.col("toxic"))).first()
     toxic, clean = both[0], both[1]
@@ -222,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     def count(only: frozenset[bytes] | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             got: Counter = Counter()
-            for part in _texts(batches):
+            for part in slices(batches):
                 for text in part.column(0).to_pylist():
                     found = {t for w in set(text.encode("utf-8", "replace").translate(_LETTERS).split()) for t in terms(w)}
                     got.update(found if only is None else found & only)
@@ -231,23 +227,24 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
 
         return run
 
-    least = max(4, int(0.004 * toxic))
+    least = max(LEAST, int(LEAST_SHARE * toxic))
     totals = lambda df, only: df.select("text").mapInArrow(count(only), "term binary, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    # The terms of the most toxic documents, a bounded number; then how many other documents hold those.
-    often = totals(rows.filter("toxic"), None).filter(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(50 * TERMS).collect()
+    # The frequent terms of the sample's toxic documents; then how many of its other documents hold those.
+    often = totals(rows.filter("toxic"), None).filter(F.col("n") >= least).collect()
     held = {bytes(r.term): r.n for r in often}
     # One term in both counts: the same rule for all labelled rows of the sample.
     other = {bytes(r.term): r.n for r in totals(rows.filter("not toxic"), frozenset(held)).collect()} if held else {}
     odds = {t: math.log((n + 0.5) / (toxic + 1)) - math.log((other.get(t, 0) + 0.5) / (clean + 1)) for t, n in held.items()}
-    strong = sorted((t for t, s in odds.items() if s >= LEVELS[0]), key=lambda t: (-held[t] * odds[t], t))[:TERMS]
-    lexicon = {t: odds[t] for t in strong}
+    lexicon = {t: odds[t] for t in sorted(odds) if odds[t] >= LEVELS[0]}
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _texts(batches):
+        for part in slices(batches):
             x = [features(t, lexicon) for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "toxic", "x"])
 
-    got = rows.mapInArrow(measure, "doc_id long, toxic boolean, x array<double>").orderBy("doc_id").limit(2 * sample).toArrow()
+    # One row for each labelled id, also where rows repeat an id: of its texts the one of the least features.
+    measured = rows.mapInArrow(measure, "doc_id long, toxic boolean, x array<double>")
+    got = measured.groupBy("doc_id").agg(F.min(F.struct("toxic", "x")).alias("r")).select("doc_id", "r.*").orderBy("doc_id").toArrow()
     x = np.array(got.column("x").to_pylist(), np.float64).reshape(got.num_rows, len(features("", {})))
     y = got.column("toxic").to_numpy().astype(np.float64)
     return Model(lexicon, x, y, np.array([zlib.crc32(str(i).encode()) // FOLDS % 3 for i in got.column("doc_id").to_pylist()], np.int64))
@@ -264,7 +261,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for part in _texts(batches):
+        for part in slices(batches):
             if not part.num_rows:
                 continue
             s = own.score(np.array([features(t or "", own.lexicon) for t in part.column(1 if keep is None else text).to_pylist()]))
@@ -274,11 +271,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 yield part.filter(pa.array(s < keep))
 
     if keep is not None:
-        return small_batches(docs).mapInArrow(run, docs.schema)
-    return small_batches(docs).select(F.col(docs.columns[doc]).cast("long").alias("doc_id"), F.col(docs.columns[text]).cast("string")).mapInArrow(run, "doc_id long, score double")
+        return shipped(docs).mapInArrow(run, docs.schema)
+    return shipped(docs).select(F.col(docs.columns[doc]).cast("long").alias("doc_id"), F.col(docs.columns[text]).cast("string")).mapInArrow(run, "doc_id long, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out (crc32 of the id as text mod FOLDS is 0), score, predicted."""
+    """doc_id, held_out (crc32 of the id as text mod FOLDS is 0; never for a null id), score, predicted."""
     out = score(docs, fit(docs, labels))
-    return out.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % FOLDS == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    away = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == 0, F.lit(False))
+    return out.select("doc_id", away.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
