@@ -7,14 +7,13 @@ result written as Parquet and read again by the next.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.llm import chunk_dedup, exact_dedup, packing, simhash, toxicity
-from veilspark.llm.common import table
+from veilspark.llm.common import shared_folder, table
 from veilspark.llm.queries import tokenizer
 
 #: Documents with this score or more are rejected.
@@ -49,16 +48,20 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("substring_dedup", cut_passages), ("packing", pack)]
 
-#: SQL can express neither the classifier nor fingerprints, chunks and packing; tests/llm has brute-force versions.
+#: SQL can express neither the classifier nor chunks and packing; tests/llm/test_pipeline.py holds each stage against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pieces of the packed corpus, from the documents table of sf_dir."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pipeline-")
-    docs = table(spark, sf_dir, "documents")
+    """The pieces of the packed corpus, from the documents table of sf_dir; what is between the stages is deleted as soon as the next has read it."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = f"{folder}/pipeline-{uuid.uuid4().hex}/{name}.parquet"
+        path = f"{folder}/{name}.parquet"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            gone = spark._jvm.org.apache.hadoop.fs.Path(last)
+            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+        last = path
     return docs
