@@ -95,7 +95,7 @@ def test_queries_keep_texts_with_long_runs(spark, tmp_path, name):
 
     texts = [PADDED, PADDED[1000:], "\u00a0" * 1200, None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    rows = catalogue.QUERIES[name](spark, str(tmp_path)).collect()
+    rows = [r for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect() if r.doc_id >= 0]  # those below are the fixture's
     places = {i: sorted((r.span_start - (0 if i else 1000), r.entity_key if name == "best_entity" else r.value) for r in rows if r.doc_id == i) for i in range(4)}
     assert places[0] == places[1] and places[0] and not places[2] and not places[3]
     if name != "best_entity":

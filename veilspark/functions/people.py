@@ -28,9 +28,11 @@ def _re(pattern: str, flags: int = 0) -> re.Pattern:
 
 
 def seed(value: str) -> int:
+    """The seed of functions.synthetic, over UTF-16 units."""
     h = 0x811C9DC5
-    for c in value:
-        h = (h ^ ord(c)) * 0x01000193 & 0xFFFFFFFF
+    raw = value.encode("utf-16-le", "surrogatepass")
+    for low, high in zip(raw[::2], raw[1::2]):
+        h = (h ^ (high << 8 | low)) * 0x01000193 & 0xFFFFFFFF
     return h
 
 

@@ -6,8 +6,10 @@ with their places; the pieces between matches and the matches themselves give th
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from functools import wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,43 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+_BUILT: dict[tuple, tuple[object, Column]] = {}
+
+
+def build_once(make: Callable[..., Column]) -> Callable[..., Column]:
+    """make, whose result for the same plain columns and options is built once: a large expression takes seconds to put together, and it holds no data."""
+
+    def key_of(x: object) -> object:
+        if not isinstance(x, Column):
+            return x
+        own = getattr(x, "_jc", None)
+        return ("column", repr(x)) if own is not None and own.node().getClass().getSimpleName() == "UnresolvedAttribute" else None
+
+    @wraps(make)
+    def own(*args, **options) -> Column:
+        gateway = SparkContext._gateway
+        key = (make.__module__, make.__qualname__, id(gateway), *map(key_of, args), *((k, key_of(v)) for k, v in sorted(options.items())))
+        if gateway is None or any(isinstance(x, Column) and key_of(x) is None for x in (*args, *options.values())):
+            return make(*args, **options)
+        if key not in _BUILT:
+            _BUILT[key] = gateway, make(*args, **options)
+        return _BUILT[key][1]
+
+    return own
+
+
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, each with so many underscores in front that it is none of those taken (whose case Spark ignores)."""
+    low = {t.lower() for t in taken}
+    out = []
+    for name in names:
+        while name.lower() in low:
+            name = f"_{name}"
+        low.add(name.lower())
+        out.append(name)
+    return out
+
+
 def once(df: DataFrame, **columns: Column) -> DataFrame:
     """df with columns that are computed once and not copied into filters or expressions above: a generator is a barrier to the optimizer."""
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))

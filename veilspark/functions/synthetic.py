@@ -13,9 +13,16 @@ from .spans import let
 
 
 def seed(value: Column) -> Column:
-    """FNV-1a of 32 bits over the code points of a text."""
+    """FNV-1a of 32 bits over the UTF-16 units of a text: a character beyond the first 65,536 counts as its two surrogates."""
     start = F.lit(0x811C9DC5).cast("long")
-    return F.aggregate(V.chars(value), start, lambda h, c: (h.bitwiseXOR(F.ascii(c).cast("long")) * 0x01000193).bitwiseAND(F.lit(0xFFFFFFFF)))
+    mixed = lambda h, unit: (h.bitwiseXOR(unit) * 0x01000193).bitwiseAND(F.lit(0xFFFFFFFF))
+
+    def step(h: Column, c: Column) -> Column:
+        code = F.ascii(c).cast("long")
+        low = lambda: (code - 0x10000).bitwiseAND(F.lit(0x3FF)) + 0xDC00
+        return F.when(code < 0x10000, mixed(h, code)).otherwise(mixed(mixed(h, F.shiftright(code - 0x10000, 10) + 0xD800), low()))
+
+    return F.aggregate(V.chars(value), start, step)
 
 
 def hash36(value: Column) -> Column:

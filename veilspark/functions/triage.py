@@ -94,6 +94,7 @@ def lines(trimmed: Column) -> Column:
     return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"\r\n|\r|\n", -1)))
 
 
+@S.build_once
 def decide(text: Column, entities: Column) -> Column:
     """(decision, reason, risk_signals) for a text and its entities (spans with start and end)."""
     none = F.array().cast("array<string>")

@@ -48,21 +48,20 @@ def anonymize(df: DataFrame, make: Callable[[], Detector] | None = None, text_co
     names = df.columns
     own = T.with_decision(with_entities(df, text_col), text_col)
     none = F.array().cast(f"array<{RESOLVED}>")
-    string, number = (lambda: F.lit(None).cast("string")), (lambda: F.lit(None).cast("int"))
-    away = {"analysis_status": F.lit("complete"), "fallback_reason": string(), "chunk_count": F.lit(0), "quota_retries": F.lit(0), "timeouts": F.lit(0), "char_limit": number(), "error": string()}
-    direct = own.filter(F.col("decision") != "needs_ai").withColumns(away)
-    direct = S.once(direct, resolved=F.when(F.col("decision") == "deterministic_only", structured(F.col("entities"))).otherwise(none))
-    asks = own.filter(F.col("decision") == "needs_ai")
+    asks = F.col("decision") == "needs_ai"
     if make is None:
-        asked = asks.withColumns({**away, "analysis_status": F.lit("error"), "fallback_reason": F.lit("ai_unavailable"), "error": F.lit("ai_unavailable"), "resolved": none})
+        empty = {"chunk_count": 0, "quota_retries": 0, "timeouts": 0, "char_limit": None}
+        own = own.withColumns({"analysis_status": F.when(asks, "error").otherwise("complete"), "fallback_reason": F.when(asks, "ai_unavailable"), "error": F.when(asks, "ai_unavailable"), **{k: F.lit(v).cast("int") for k, v in empty.items()}, "_found": F.lit(None).cast(f"array<{RESOLVED}>")})
     else:
-        got = propose(asks, make, text_col)
+        # One scan serves all rows; those that need no model pass through Python as they are.
+        got = propose(own.withColumn("_asks", asks), make, text_col, asks_col="_asks")
         timed = (F.col("analysis_status") == "partial") & (F.col("fallback_reason") == "timeout") & (F.size("proposed") == 0)
-        both = F.concat(proposed(F.col("entities")), F.coalesce("proposed", F.array().cast(dict(got.dtypes)["proposed"])))
+        both = F.when(F.col("_asks"), F.concat(proposed(F.col("entities")), F.coalesce("proposed", F.array().cast(dict(got.dtypes)["proposed"]))))
         # A timeout of a single call without structured entities is an error; with them they are the result.
         got = got.withColumn("error", F.when(timed & (F.size("entities") == 0), F.lit("timeout")).otherwise(F.col("error"))).withColumn("_all", both)
-        asked = resolve(got, text_col, "_all").drop("_all", "proposed")
-    every = result(direct.unionByName(asked), text_col, "resolved")
+        own = resolve(got, text_col, "_all", "_asks").withColumnRenamed("resolved", "_found").drop("_all", "_asks", "proposed")
+    own = S.once(own, resolved=F.when(F.col("decision") == "deterministic_only", structured(F.col("entities"))).otherwise(F.coalesce("_found", none)))
+    every = result(own, text_col, "resolved")
     every = every.withColumn("output_text", F.when(F.col("error").isNull(), F.col("output_text"))).withColumn("has_pii", F.col("error").isNull() & F.col("has_pii"))
     extra = ["chunk_count", "quota_retries", "timeouts", "char_limit"] if telemetry else []
     return every.select(*names, "output_text", "replacements", "has_pii", "n_entities", "decision", "reason", "analysis_status", "fallback_reason", "error", *extra)

@@ -7,7 +7,7 @@ Sorting all candidates by pass and place and folding over them once is the same.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -21,15 +21,25 @@ CANDIDATE = "struct<pass:int,start:int,end:int,category:string,value:string>"
 ENTITY = "struct<original:string,category:string,source:string,start:int,end:int,confidence:double>"
 
 
+#: What each match of a pass contains, in patterns that cost far less than the pass itself.
+_HINTS = (
+    None,
+    "[A-Z]{2}[0-9]{2}",
+    "(?:[0-9][ -]?){12}[0-9]",
+    r"[0-9]\.[0-9]",
+    "[0-9A-Fa-f]:[0-9A-Fa-f]",
+    "[0-9][./-][0-9]",
+    # Six digits with a bracket, a separator and a bracket between two of them at most.
+    rf"[0-9](?:\)?[{P.WS_CHARS}./-]?\(?[0-9]){{5}}",
+)
+
+
 def _hint(text: Column, i: int) -> Column:
     """A cheap test that a text must pass to hold a match of pass i."""
-    if i == 0:
-        return text.contains("@")
-    if i == 4:
-        return text.contains(":")
-    return text.rlike("[0-9]")
+    return text.contains("@") if i == 0 else text.rlike(_HINTS[i])
 
 
+@S.build_once
 def pass_candidates(text: Column, i: int) -> Column:
     """Valid matches of pass i, trimmed, before any of the rules that look at other matches."""
     category, pattern = P.PASSES[i]
@@ -40,6 +50,7 @@ def pass_candidates(text: Column, i: int) -> Column:
     return F.when(_hint(text, i), made).otherwise(F.array().cast(f"array<{CANDIDATE}>"))
 
 
+@S.build_once
 def entities(text: Column, dedupe: bool = True) -> Column:
     """All entities of a text by start, as an array of ENTITY."""
     found = F.concat(*[pass_candidates(text, i) for i in range(len(P.PASSES))])
@@ -52,51 +63,53 @@ def entities(text: Column, dedupe: bool = True) -> Column:
     )
 
 
-def _long(batches: Iterator[pa.RecordBatch], text_at: int, names: list[str], dedupe: bool) -> Iterator[pa.RecordBatch]:
-    from ..functions.textscan import detect
-
-    kind = pa.list_(pa.struct([("original", pa.string()), ("category", pa.string()), ("source", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("confidence", pa.float64())]))
-    for batch in batches:
-        got = [[{"original": v, "category": c, "source": "deterministic", "start": a, "end": b, "confidence": 1.0} for c, v, a, b in detect(t or "", dedupe)] for t in batch.column(text_at).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, kind)], names=[*names, "entities"])
-
-
 def has_long_run(text: Column) -> Column:
     """Whether a text must go through Python; most are too short to need the search."""
     return F.coalesce((F.length(text) >= 1000) & text.rlike(P.LONG_RUN), F.lit(False))
 
 
-def with_entities(df: DataFrame, text_col: str = "text", dedupe: bool = True) -> DataFrame:
-    """df with a column entities (array of ENTITY; empty for null texts).
+def _beside(df: DataFrame, text_col: str, name: str, plain: Column, scan: Callable[[str], list[dict]], kind: str, arrow: pa.DataType) -> DataFrame:
+    """df with a column: plain, computed in the JVM, or what scan makes of the text in Python.
 
     Texts with a run of a thousand digits and separators would overflow the stack of Java's matcher;
-    those rows alone go through Python in Arrow batches.
+    those alone go to Python, which gets a null for every other row.  One scan serves both.
     """
-    text = F.col(text_col)
-    long = has_long_run(text)
-    plain = S.once(df.filter(~long), entities=F.coalesce(entities(text, dedupe), F.array().cast(f"array<{ENTITY}>")))
-    names, at = df.columns, df.columns.index(text_col)
-    rest = df.filter(long).mapInArrow(lambda batches: _long(batches, at, names, dedupe), plain.schema)
-    return plain.unionByName(rest)
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else scan(t) for t in texts.to_pylist()], arrow)
+
+    own, away = S.fresh(df.columns, "own", "away")
+    done = S.once(S.once(df, **{away: has_long_run(F.col(text_col))}), **{own: F.when(~F.col(away), plain)})
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    # The name is made behind a generator, or filters above it would have Python scan once more.
+    done = done.select(*columns, own, F.arrow_udf(run, f"array<{kind}>")(F.when(F.col(away), F.col(text_col))).alias(away))
+    return S.once(done, **{name: F.coalesce(own, away, F.array().cast(f"array<{kind}>"))}).select(*columns, name)
 
 
-def _long_candidates(batches: Iterator[pa.RecordBatch], text_at: int, names: list[str], passes: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
-    from ..functions.textscan import matches
+_ENTITY = pa.list_(pa.struct([("original", pa.string()), ("category", pa.string()), ("source", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("confidence", pa.float64())]))
+_CANDIDATE = pa.list_(pa.struct([("pass", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("category", pa.string()), ("value", pa.string())]))
 
-    kind = pa.list_(pa.struct([("pass", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("category", pa.string()), ("value", pa.string())]))
-    for batch in batches:
-        got = [[{"pass": i, "start": a, "end": b, "category": P.PASSES[i][0], "value": v} for i in passes for a, b, v in matches(t or "", i)] for t in batch.column(text_at).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, kind)], names=[*names, "found"])
+
+def with_entities(df: DataFrame, text_col: str = "text", dedupe: bool = True) -> DataFrame:
+    """df with a column entities (array of ENTITY; empty for null texts)."""
+
+    def scan(text: str) -> list[dict]:
+        from ..functions.textscan import detect
+
+        return [{"original": v, "category": c, "source": "deterministic", "start": a, "end": b, "confidence": 1.0} for c, v, a, b in detect(text, dedupe)]
+
+    return _beside(df, text_col, "entities", entities(F.col(text_col), dedupe), scan, ENTITY, _ENTITY)
 
 
 def with_candidates(df: DataFrame, *passes: int, text_col: str = "text") -> DataFrame:
-    """df with a column found: the pass_candidates of each of the passes, one after the other.  Rows go through Python as in with_entities."""
-    text = F.col(text_col)
-    long = has_long_run(text)
-    plain = S.once(df.filter(~long), found=F.concat(*[pass_candidates(text, i) for i in passes]))
-    names, at = df.columns, df.columns.index(text_col)
-    rest = df.filter(long).mapInArrow(lambda batches: _long_candidates(batches, at, names, passes), plain.schema)
-    return plain.unionByName(rest)
+    """df with a column found: the pass_candidates of each of the passes, one after the other."""
+
+    def scan(text: str) -> list[dict]:
+        from ..functions.textscan import matches
+
+        return [{"pass": i, "start": a, "end": b, "category": P.PASSES[i][0], "value": v} for i in passes for a, b, v in matches(text, i)]
+
+    return _beside(df, text_col, "found", F.concat(*[pass_candidates(F.col(text_col), i) for i in passes]), scan, CANDIDATE, _CANDIDATE)
 
 
 def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", dedupe: bool = True) -> DataFrame:

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -88,21 +89,38 @@ def analyse(detector: Detector, text: str, limit: int = P.CHUNK["fallback"], thr
     return out
 
 
-def propose(df: DataFrame, make: Callable[[], Detector], text_col: str = "text", limit: int = P.CHUNK["fallback"]) -> DataFrame:
+_DETECTORS: dict[bytes, Detector] = {}
+
+
+def _detector(make: Callable[[], Detector]) -> Detector:
+    """make(), called once in each worker process, which serves many tasks."""
+    key = cloudpickle.dumps(make)
+    if key not in _DETECTORS:
+        _DETECTORS.clear()
+        _DETECTORS[key] = make()
+    return _DETECTORS[key]
+
+
+def propose(df: DataFrame, make: Callable[[], Detector], text_col: str = "text", limit: int = P.CHUNK["fallback"], asks_col: str | None = None) -> DataFrame:
     """df with proposed (array of PROPOSED), analysis_status, fallback_reason, chunk_count, quota_retries, timeouts, char_limit and error.
 
     A detector that isn't ready, or fails, gives null proposals and an error; the text itself is never a result.
+    Rows whose asks_col isn't true are complete without a detector.
     """
     names, at = df.columns, df.columns.index(text_col)
+    asks = None if asks_col is None else names.index(asks_col)
     more = T.StructType.fromDDL(f"proposed array<{PROPOSED}>, analysis_status string, fallback_reason string, chunk_count int, quota_retries int, timeouts int, char_limit int, error string")
     schema = T.StructType([*df.schema.fields, *more.fields])
     kind = pa.list_(pa.struct([("original", pa.string()), ("replacement", pa.string()), ("category", pa.string()), ("source", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("confidence", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        detector = make()
+        detector = _detector(make)
         for batch in batches:
             got = []
-            for text in batch.column(at).to_pylist():
+            for text, ask in zip(batch.column(at).to_pylist(), [True] * batch.num_rows if asks is None else batch.column(asks).to_pylist()):
+                if not ask:
+                    got.append((None, "complete", None, 0, 0, 0, None, None))
+                    continue
                 error, one = None, {"entities": None, "status": "error", "reason": None, "chunks": 0, "quota_retries": 0, "timeouts": 0, "limit": None}
                 try:
                     if detector.is_ready():

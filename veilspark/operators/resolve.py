@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import people
+from ..functions import spans as S
 from ..functions import synthetic as X
 from ..functions import validators as V
 
@@ -38,23 +39,26 @@ def proposed(entities: Column) -> Column:
     return F.transform(entities, lambda e: F.struct(e["original"].alias("original"), F.lit(None).cast("string").alias("replacement"), e["category"].alias("category"), e["source"].alias("source"), e["start"].alias("start"), e["end"].alias("end"), e["confidence"].alias("confidence")))
 
 
-def resolve(df: DataFrame, text_col: str, entities_col: str) -> DataFrame:
-    """df with a column resolved: one entity per key with its own replacement, longest first.
+def resolve(df: DataFrame, text_col: str, entities_col: str, asks_col: str | None = None) -> DataFrame:
+    """df with a column resolved: one entity per key with its own replacement, longest first; null where asks_col isn't true.
 
     The steps of a document depend on one another, so they run in Python, in Arrow batches.
     """
     names = df.columns
     text, own = names.index(text_col), names.index(entities_col)
+    asks = None if asks_col is None else names.index(asks_col)
     schema = T.StructType([*df.schema.fields, *T.StructType.fromDDL(f"resolved array<{RESOLVED}>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [people.resolve(t or "", e or []) for t, e in zip(batch.column(text).to_pylist(), batch.column(own).to_pylist())]
+            asked = [True] * batch.num_rows if asks is None else batch.column(asks).to_pylist()
+            got = [people.resolve(t or "", e or []) if ask else None for t, e, ask in zip(batch.column(text).to_pylist(), batch.column(own).to_pylist(), asked)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, _KIND)], names=[*names, "resolved"])
 
     return df.mapInArrow(run, schema)
 
 
+@S.build_once
 def structured(entities: Column, keyed: bool = False) -> Column:
     """Detector entities with synthetic values, without Python; the seed is the value, or with keyed category:value."""
 

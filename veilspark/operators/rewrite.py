@@ -57,6 +57,7 @@ def choose(text: Column, entry_list: Column, ignore_case: bool = True) -> Column
     return S.forward(slim, f"array<{CHOICE}>")
 
 
+@S.build_once
 def rewrite(text: Column, pairs: Column, ignore_case: bool = True) -> Column:
     """text with all values of pairs (array of from, to) replaced at once; what is put in is not replaced again."""
     return S.splice(text, choose(text, entries(pairs), ignore_case), lambda s: s["replacement"])

@@ -16,6 +16,7 @@ from ..functions.validators import micros
 from ..operators import anonymize as A
 from ..operators import chunk as C
 from ..operators import detect as D
+from ..operators import engine as E
 from ..operators import gates as G
 from ..operators import mask as M
 from ..operators import model
@@ -43,6 +44,7 @@ FIXTURE = (
     "am 31.02.2020 und 29/02/2020 und 2024-01-15 und 1-2.1999",
     "nichts",
     "",
+    "😀 Max schreibt an max@😀.de und an eva@firma.de, Telefon 030 1234567.",
 )
 
 
@@ -74,20 +76,25 @@ def _fixture(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, t) for i, t in enumerate(FIXTURE)], "doc_id long, text string")
 
 
+def _with_fixture(spark: SparkSession, texts: DataFrame) -> DataFrame:
+    """texts and, under negative ids, the fixture."""
+    return texts.unionByName(_fixture(spark).withColumn("doc_id", -1 - F.col("doc_id")))
+
+
 def _flat(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "category", "original", F.col("start").cast("long").alias("span_start"), F.col("end").cast("long").alias("span_end"))
 
 
 def _pass(number: int, name: str = "documents"):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = D.with_candidates(_texts(spark, sf_dir, name), number).select("doc_id", F.inline("found"))
+        found = D.with_candidates(_with_fixture(spark, _texts(spark, sf_dir, name)), number).select("doc_id", F.inline("found"))
         return found.select("doc_id", F.col("start").cast("long").alias("span_start"), F.col("end").cast("long").alias("span_end"), "value")
 
     return query
 
 
-def entities(name: str):
-    return lambda spark, sf_dir: _flat(D.detect(_texts(spark, sf_dir, name)))
+def entities(name: str, fixture: bool = False):
+    return lambda spark, sf_dir: _flat(D.detect(_with_fixture(spark, _texts(spark, sf_dir, name)) if fixture else _texts(spark, sf_dir, name)))
 
 
 def entities_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,12 +142,11 @@ def scan_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    start = F.substring("text", 1, 60)
-    return _texts(spark, sf_dir).select("doc_id", X.seed(start).alias("seed"), X.hash36(start).alias("hash36"))
+    return _with_fixture(spark, _texts(spark, sf_dir)).select("doc_id", X.seed(F.col("text")).alias("seed"), X.hash36(F.col("text")).alias("hash36"))
 
 
 def fake_structured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = S.once(D.with_entities(_texts(spark, sf_dir).unionByName(_fixture(spark).withColumn("doc_id", -1 - F.col("doc_id")))), made=R.structured(F.col("entities")))
+    own = S.once(D.with_entities(_with_fixture(spark, _texts(spark, sf_dir))), made=R.structured(F.col("entities")))
     return own.select("doc_id", F.inline("made")).select("doc_id", "category", "original", "replacement")
 
 
@@ -266,6 +272,41 @@ def _mapping_events(events: DataFrame) -> DataFrame:
 MOMENT = "2024-01-20 12:00:00"
 
 
+def mapping_cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same store when some errors clear everything."""
+    events = table(spark, sf_dir, "events")
+    every = events.filter("event_type = 'error' AND event_id % 50 = 0").select(F.lit("").alias("key"), "ts", F.lit("clear_all").alias("kind"), F.lit("").alias("fake"), F.lit("").alias("original"))
+    out = L.state_at(_mapping_events(events).unionByName(every), F.lit(MOMENT + "Z").cast("timestamp"), 3 * 24 * 60)
+    return out.select("key", "fake", "original", micros("touched_at").alias("touched_us"))
+
+
+#: kind, value, allowed
+CONTROL_EVENTS = (("set_enabled", "false", True), ("set_mode", "simple", False), ("set_mode", "simple", True), ("set_enabled", "true", True), ("set_mode", "other", True), ("set_enabled", "x", True), ("set_mode", "reversible", False), ("set_mode", "simple", True))
+
+
+def engine_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(CONTROL_EVENTS)], "id int, kind string, value string, allowed boolean")
+    return E.settings(rows, "id").select("id", "enabled", "mode", "clears", "error")
+
+
+def engine_disabled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = E.Engine(enabled=False).transform(_texts(spark, sf_dir))
+    return out.select("doc_id", "output_text", "has_pii", F.col("n_entities").cast("long").alias("n_entities"))
+
+
+def engine_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = E.Engine().with_mode("simple").transform(_texts(spark, sf_dir, "conversations"))
+    return out.select("doc_id", "output_text", "has_pii", F.col("n_entities").cast("long").alias("n_entities"))
+
+
+def engine_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.Engine().with_enabled("").with_mode("simple").status(spark).unionByName(E.Engine().status(spark, model_ready=True))
+
+
+def runtime_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.runtime_info(spark)
+
+
 def mapping_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the store holds at a moment, with a time to live of three days for these sparse events."""
     out = L.state_at(_mapping_events(table(spark, sf_dir, "events")), F.lit(MOMENT + "Z").cast("timestamp"), 3 * 24 * 60)
@@ -411,7 +452,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "detect_phone": _pass(6),
     "entities_documents": entities("documents"),
     "entities_pages": entities("pages"),
-    "entities_conversations": entities("conversations"),
+    "entities_conversations": entities("conversations", fixture=True),
     "entities_fixture": entities_fixture,
     "mask_documents": mask("documents"),
     "mask_pages": mask("pages"),
@@ -434,6 +475,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "anonymize": anonymize,
     "anonymize_without_model": anonymize_without_model,
     "remask": remask,
+    "engine_settings": engine_settings,
+    "engine_disabled": engine_disabled,
+    "engine_simple": engine_simple,
+    "engine_status": engine_status,
+    "runtime_info": runtime_info,
     "chunk_documents": chunk_documents,
     "chunk_short": chunk_short,
     "chunk_retry": chunk_retry,
@@ -447,6 +493,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "copy_controls": copy_controls,
     "mapping_sessions": mapping_sessions,
     "mapping_state": mapping_state,
+    "mapping_cleared": mapping_cleared,
     "mapping_stream": mapping_stream,
     "orphan_mappings": orphan_mappings,
     "kept_mappings": kept_mappings,

@@ -57,7 +57,10 @@ def mod97(v: str) -> str:
 
 
 def fnv(v: str) -> str:
-    return f"list_reduce(list_transform(string_split({v}, ''), lambda c: CAST(unicode(c) AS HUGEINT)), lambda h, c: ((xor(CAST(h AS BIGINT), CAST(c AS BIGINT))::HUGEINT * 16777619) % 4294967296), CAST(2166136261 AS HUGEINT))"
+    """Over UTF-16 units: a character beyond the first 65,536 is its two surrogates."""
+    units = f"flatten(list_transform(list_filter(string_split({v}, ''), lambda c: c <> ''), lambda c: CASE WHEN unicode(c) < 65536 THEN [CAST(unicode(c) AS BIGINT)] ELSE [CAST((unicode(c) - 65536) // 1024 + 55296 AS BIGINT), CAST((unicode(c) - 65536) % 1024 + 56320 AS BIGINT)] END))"
+    # Below 2 ** 57 throughout, so plain 64-bit numbers do.
+    return f"list_reduce({units}, lambda h, c: (xor(h, c) * 16777619) % 4294967296, CAST(2166136261 AS BIGINT))"
 
 
 def hash36(seed: str) -> str:
@@ -126,12 +129,16 @@ TALKS = "(SELECT conv_id * 100000 + turn AS doc_id, text FROM conversations)"
 FIXTURE = "(SELECT CAST(doc_id AS BIGINT) AS doc_id, text FROM " + values(list(enumerate(Q.FIXTURE)), "doc_id", "text") + ")"
 
 
+#: Documents and, under negative ids, the fixture.
+WITH_FIXTURE = f"(SELECT * FROM {DOCS} UNION ALL SELECT -1 - doc_id, text FROM {FIXTURE})"
+
+
 def flat(source: str) -> str:
     return f"SELECT doc_id, category, v AS original, s AS span_start, e AS span_end FROM ({entities(source)})"
 
 
 def one_pass(i: int) -> str:
-    return f"SELECT doc_id, s AS span_start, e AS span_end, v AS value FROM ({matches(i, DOCS)})"
+    return f"SELECT doc_id, s AS span_start, e AS span_end, v AS value FROM ({matches(i, WITH_FIXTURE)})"
 
 
 def lookup(column: str, table: dict[str, str]) -> str:
@@ -188,7 +195,7 @@ def fakes(source: str, key: str) -> str:
     mark = "regexp_extract(v, '^\\d{1,2}([./-])', 1)"
     date = f"CASE WHEN regexp_matches(v, '^\\d{{4}}-') THEN '1988-' || {month} || '-' || {day} ELSE {day} || {mark} || {month} || {mark} || {year} END"
     return f"""
-        SELECT doc_id, category, v, k, CASE category
+        SELECT doc_id, category, v, k, s, CASE category
             WHEN 'email' THEN 'person-' || substr({hash36('seed')}, 1, 6) || '@example.invalid'
             WHEN 'iban' THEN {iban}
             WHEN 'credit_card' THEN {refill('v', 'card_digits')}
@@ -197,8 +204,34 @@ def fakes(source: str, key: str) -> str:
             WHEN 'phone' THEN {refill('v', 'phone_digits')}
         END AS replacement
         FROM (SELECT *, {card_digits} AS card_digits, {phone_digits} AS phone_digits
-              FROM (SELECT doc_id, category, v, k, CAST({fnv('k')} AS BIGINT) AS seed, CAST({fnv("(k || ':month')")} AS BIGINT) AS seed_month
-                    FROM (SELECT doc_id, category, v, {key} AS k FROM ({entities(source)}))))"""
+              FROM (SELECT doc_id, category, v, k, s, CAST({fnv('k')} AS BIGINT) AS seed, CAST({fnv("(k || ':month')")} AS BIGINT) AS seed_month
+                    FROM (SELECT doc_id, category, v, s, {key} AS k FROM ({entities(source)}))))"""
+
+
+def pseudonymised(source: str) -> str:
+    """doc_id, text, output_text and n (entities) of source(doc_id, text): every place of each original is rewritten, words at word boundaries with up to two more letters."""
+    word = r"[\p{L}\p{N}_]"
+    kind = "STRUCT(s BIGINT, e BIGINT, r VARCHAR)"
+    return f"""
+        WITH t AS (SELECT * FROM {source}),
+        f AS (SELECT doc_id, v, category, replacement, s FROM ({fakes(source, 'v')})),
+        pairs AS (SELECT doc_id, v, arg_max(replacement, s) AS r, regexp_full_match(v, '[\\p{{L}}\\p{{N}}\\s-]+') AS wordy FROM f GROUP BY doc_id, v),
+        cut AS (SELECT doc_id, text, v, r, wordy, CASE WHEN wordy THEN string_split(lower(text), lower(v)) ELSE string_split(text, v) END AS gaps FROM pairs JOIN t USING (doc_id)),
+        places AS (SELECT doc_id, text, v, r, wordy, CAST(list_sum(list_transform(gaps[1:k], lambda x: length(x))) + (k - 1) * length(v) AS BIGINT) AS s
+                   FROM (SELECT *, unnest(range(1, len(gaps))) AS k FROM cut)),
+        hits AS (SELECT doc_id, s, s + length(v) AS e, r FROM places WHERE NOT wordy
+                 UNION ALL
+                 SELECT doc_id, s, s + length(v) + length(more), r || more FROM (
+                     SELECT *, regexp_extract(substr(text, s + length(v) + 1, 3), '^(\\p{{L}}{{0,2}})($|[^\\p{{L}}\\p{{N}}_])', 1) AS more,
+                            regexp_matches(substr(text, s + length(v) + 1, 3), '^(\\p{{L}}{{0,2}})($|[^\\p{{L}}\\p{{N}}_])') AS ends FROM places WHERE wordy)
+                 WHERE ends AND (s = 0 OR NOT regexp_matches(substr(text, s, 1), '{word}'))),
+        kept AS (SELECT doc_id, u.s AS s, u.e AS e, u.r AS r
+                 FROM (SELECT doc_id, unnest(list_reduce(c, lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: y.s < x.e AND x.s < y.e)) > 0 THEN acc ELSE list_append(acc, x) END, CAST([] AS {kind}[]))) AS u
+                       FROM (SELECT doc_id, list(CAST(struct_pack(s := s, e := e, r := r) AS {kind}) ORDER BY s, s - e) AS c FROM hits GROUP BY doc_id))),
+        done AS (SELECT doc_id, max(e) AS upto, string_agg(substr(text, prev + 1, s - prev) || r, '' ORDER BY s) AS out
+                 FROM (SELECT kept.*, t.text, coalesce(lag(kept.e) OVER (PARTITION BY kept.doc_id ORDER BY kept.s), 0) AS prev FROM kept JOIN t USING (doc_id)) GROUP BY doc_id)
+        SELECT t.doc_id, t.text, coalesce(out || substr(t.text, upto + 1), t.text) AS output_text, coalesce(n, 0) AS n
+        FROM t LEFT JOIN done USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM f GROUP BY doc_id) USING (doc_id)"""
 
 
 _STRIP = f"trim(text, {_SPACE})"
@@ -214,21 +247,23 @@ def fake_id(v: str) -> str:
 _QUICK = (r"[\w.+-]+@[\w-]+\.[\w.-]+", r"(?:\+?\d[\s\-/.()]*){7,}", r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b", r"\b(?:\d[ -]?){13,19}\b")
 
 
-def chunked(limit: int, least: int, overlap: int) -> str:
-    early = min(max(1, min(least, limit)), limit // 2)
+def chunked(limit: int | str, least: int, overlap: int, source: str | None = None) -> str:
+    """Chunks of the documents, or of source(doc_id, text, lim) when limit is its column lim."""
+    early = min(max(1, min(least, limit)), limit // 2) if isinstance(limit, int) else f"least(greatest(1, least({least}, lim)), lim // 2)"
+    lim = "" if source is None else ", lim"
     last = lambda mark, k: f"length(substr(text, 1, target + {k})) - strpos(reverse(substr(text, 1, target + {k})), {mark}) - {k} + 1"
     found = lambda mark, k: f"CASE WHEN contains(substr(text, 1, target + {k}), {mark}) THEN {last(mark, k)} ELSE -1 END"
     sentence = "CASE WHEN regexp_matches(slice, '(?s)^.*[.!?。！？][)\"''\\]”’]*\\s+') THEN a + length(regexp_extract(slice, '(?s)^(.*[.!?。！？][)\"''\\]”’]*\\s+)', 1)) ELSE -1 END"
     step = f"""
-        SELECT doc_id, text, chunk, a, CASE WHEN length(text) - a <= {limit} THEN length(text) WHEN para >= low THEN para + 2 WHEN line >= low THEN line + 1 WHEN sent >= low THEN sent WHEN word >= low THEN word + 1 ELSE target END AS b,
+        SELECT doc_id, text{lim}, chunk, a, CASE WHEN length(text) - a <= {limit} THEN length(text) WHEN para >= low THEN para + 2 WHEN line >= low THEN line + 1 WHEN sent >= low THEN sent WHEN word >= low THEN word + 1 ELSE target END AS b,
                CASE WHEN length(text) - a <= {limit} THEN 'end' WHEN para >= low THEN 'paragraph' WHEN line >= low THEN 'line' WHEN sent >= low THEN 'sentence' WHEN word >= low THEN 'word' ELSE 'hard' END AS boundary
         FROM (SELECT *, {found("chr(10) || chr(10)", 2)} AS para, {found("chr(10)", 1)} AS line, {sentence} AS sent, {found("' '", 1)} AS word
-              FROM (SELECT doc_id, text, chunk, a, a + {limit} AS target, a + {early} AS low, substr(text, a + 1, {limit}) AS slice FROM %s))"""
+              FROM (SELECT doc_id, text{lim}, chunk, a, a + {limit} AS target, a + {early} AS low, substr(text, a + 1, {limit}) AS slice FROM %s))"""
     return f"""
         WITH RECURSIVE c AS (
-            SELECT * FROM ({step % f"(SELECT doc_id, text, 0 AS chunk, 0 AS a FROM {DOCS} WHERE length(text) > 0)"})
+            SELECT * FROM ({step % f"(SELECT doc_id, text{lim}, 0 AS chunk, 0 AS a FROM {source or DOCS} WHERE length(text) > 0)"})
             UNION ALL
-            SELECT * FROM ({step % f"(SELECT doc_id, text, chunk + 1 AS chunk, b - CASE WHEN boundary IN ('word', 'hard') THEN least({overlap}, b - a - 1) ELSE 0 END AS a FROM c WHERE boundary <> 'end')"}))
+            SELECT * FROM ({step % f"(SELECT doc_id, text{lim}, chunk + 1 AS chunk, b - CASE WHEN boundary IN ('word', 'hard') THEN least({overlap}, b - a - 1) ELSE 0 END AS a FROM c WHERE boundary <> 'end')"}))
         SELECT doc_id, chunk::BIGINT AS chunk, a::BIGINT AS chunk_start, least(b, length(text))::BIGINT AS chunk_end, boundary, sha256(substr(text, a + 1, b - a)) AS text_sha256 FROM c"""
 
 
@@ -299,6 +334,15 @@ _STREAM = f"""
     g AS (SELECT *, sum(CASE WHEN kind = 'write' AND ms - last_ms > {_TTL * 60_000} THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY ts) AS gaps FROM c),
     f AS (SELECT *, CASE WHEN kind = 'write' AND row_number() OVER (PARTITION BY key, clears, gaps, kind, fake ORDER BY ts) = 1 THEN 1 ELSE 0 END AS fresh FROM g)
     SELECT key, ms * 1000 AS us, kind AS action, CAST(CASE kind WHEN 'clear' THEN 0 ELSE sum(fresh) OVER (PARTITION BY key, clears, gaps ORDER BY ts) END AS BIGINT) AS n FROM f"""
+_CLEARED = _STATE.replace("    SELECT l.key, fake", "    , every AS (SELECT max(epoch_us(ts)) AS last_us FROM events WHERE event_type = 'error' AND event_id % 50 = 0 AND epoch_us(ts) <= " + _MOMENT + ")\n    SELECT l.key, fake").replace(" GROUP BY l.key, fake", " AND us > coalesce((SELECT last_us FROM every), 0) GROUP BY l.key, fake")
+#: Chunks of more than 1200 characters in halves: each is a text of its own, whose pieces begin where it does.
+_RETRY = f"""
+    WITH own AS (SELECT c.*, substr(d.text, chunk_start + 1, chunk_end - chunk_start) AS part, chunk_end - chunk_start AS n FROM ({chunked(8000, 1200, 160)}) c JOIN {DOCS} d USING (doc_id)),
+    named AS (SELECT *, row_number() OVER (ORDER BY doc_id, chunk) AS id FROM own),
+    halves AS ({chunked("lim", 1200, 0, "(SELECT id AS doc_id, part AS text, greatest(1200, (n + 1) // 2) AS lim FROM named WHERE n > 1200)")}),
+    every AS (SELECT doc_id, chunk AS c, 0 AS p, chunk_start, chunk_end, boundary, text_sha256 FROM named WHERE n <= 1200
+              UNION ALL SELECT named.doc_id, named.chunk, halves.chunk, named.chunk_start + halves.chunk_start, named.chunk_start + halves.chunk_end, halves.boundary, halves.text_sha256 FROM halves JOIN named ON named.id = halves.doc_id)
+    SELECT doc_id, row_number() OVER w - 1 AS chunk, chunk_start, chunk_end, boundary, text_sha256, row_number() OVER w - 1 AS piece FROM every WINDOW w AS (PARTITION BY doc_id ORDER BY c, p)"""
 _SIZES = values(corpus.SIZES, "size_label", "n")
 _VARIANTS = values([(v,) for v in corpus.VARIANTS], "variant")
 _MEASURES = values([("background", 70), ("paste", 110)], "measurement", "base")
@@ -309,11 +353,37 @@ def _case(number: str) -> str:
     return f"CASE WHEN {number} IS NULL OR isnan({number}) OR isinf({number}) THEN NULL ELSE {number} END"
 
 
+_CATEGORIES = ", ".join(text(c) for c in P.CATEGORIES)
+_RESPONSES = f"""
+    SELECT id, CASE WHEN NOT ok THEN 'parse_failed' END AS error, CASE WHEN ok THEN CAST(len(es) AS INTEGER) END AS n
+    FROM (SELECT id, es, json_type(j, '$.entities') IS NOT DISTINCT FROM 'ARRAY' AND len(list_filter(es, lambda e: NOT coalesce(
+            json_type(e, '$.original') = 'VARCHAR' AND json_type(e, '$.replacement') = 'VARCHAR' AND (e ->> '$.category') IN ({_CATEGORIES})
+            AND coalesce(json_type(e, '$.confidence') IN ('UBIGINT', 'BIGINT', 'DOUBLE'), TRUE), FALSE))) = 0 AS ok
+          FROM (SELECT id, j, json_extract(j, '$.entities[*]') AS es FROM (SELECT id, CASE WHEN json_valid(r) THEN r::JSON ELSE '{{}}'::JSON END AS j FROM {values([(i, r) for i, r in enumerate(Q.RESPONSES)], "id", "r")})))"""
+_ONCE = "length(output_text) > 0 AND length(shown) - length(replace(shown, output_text, '')) = length(output_text)"
+
+
 ORACLE_SQL: dict[str, str] = {
+    "parse_responses": _RESPONSES,
+    "chunk_retry": _RETRY,
+    "mapping_cleared": _CLEARED,
+    "anonymize_structured": f"SELECT doc_id, output_text, output_text <> text AS has_pii, n AS n_entities FROM ({pseudonymised(DOCS)})",
+    "remask": f"""
+        SELECT doc_id, ok AS remasked, CASE WHEN ok THEN replace(shown, output_text, masked) ELSE shown END AS remasked_text
+        FROM (SELECT *, masked <> text AND {_ONCE} AS ok
+              FROM (SELECT a.doc_id, a.text, a.output_text, '> ' || a.output_text AS shown, m.output_text AS masked FROM ({pseudonymised(DOCS)}) a JOIN ({masked(DOCS)}) m USING (doc_id)))""",
+    "engine_settings": f"""
+        SELECT id, coalesce(last_value(e IGNORE NULLS) OVER w, TRUE) AS enabled, coalesce(last_value(m IGNORE NULLS) OVER w, 'reversible') AS mode, kind = 'set_mode' AND NOT refused AS clears, CASE WHEN refused THEN 'simple_model_permission_missing' END AS error
+        FROM (SELECT *, CASE WHEN kind = 'set_enabled' THEN value = 'true' END AS e, CASE WHEN kind = 'set_mode' AND NOT refused THEN CASE WHEN value = 'simple' THEN 'simple' ELSE 'reversible' END END AS m
+              FROM (SELECT *, kind = 'set_mode' AND value = 'simple' AND NOT allowed AS refused FROM {values([(i, *r) for i, r in enumerate(Q.CONTROL_EVENTS)], "id", "kind", "value", "allowed")}))
+        WINDOW w AS (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+    "engine_disabled": f"SELECT doc_id, text AS output_text, FALSE AS has_pii, CAST(0 AS BIGINT) AS n_entities FROM {DOCS}",
+    "engine_simple": masked(TALKS),
+    "engine_status": "SELECT * FROM (VALUES (FALSE, 'simple', FALSE), (TRUE, 'reversible', TRUE)) AS t(enabled, mode, model_ready)",
     **{name: one_pass(i) for i, name in enumerate(("detect_email", "detect_iban", "detect_card", "detect_ipv4", "detect_ipv6", "detect_date", "detect_phone"))},
     "entities_documents": flat(DOCS),
     "entities_pages": flat(PAGES),
-    "entities_conversations": flat(TALKS),
+    "entities_conversations": flat(f"(SELECT * FROM {TALKS} UNION ALL SELECT -1 - doc_id, text FROM {FIXTURE})"),
     "entities_fixture": flat(FIXTURE),
     "mask_documents": masked(DOCS),
     "mask_pages": masked(PAGES),
@@ -323,8 +393,8 @@ ORACLE_SQL: dict[str, str] = {
     "document_categories": f"SELECT doc_id, {lookup('category', P.MASK_OF_CATEGORY)} AS category, count(*) AS n FROM ({entities(DOCS, False)}) GROUP BY ALL",
     "pii_by_source": f"SELECT source, count(*) AS docs, count(n) AS docs_with_pii, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_entities FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({entities(DOCS)}) GROUP BY doc_id) USING (doc_id) GROUP BY source",
     "scan_gate": f"SELECT doc_id, CASE WHEN {_STRIP} = '' THEN FALSE WHEN length({_STRIP}) >= {P.SCAN_FROM} THEN TRUE ELSE " + " OR ".join(f"regexp_matches({_STRIP}, {text(p)})" for p in _QUICK) + f" END AS should_scan, length({_STRIP}) >= {P.RESTORE_FROM} AS should_restore FROM {DOCS}",
-    "seeds": f"SELECT doc_id, seed, {hash36('seed')} AS hash36 FROM (SELECT doc_id, CAST({fnv('substr(text, 1, 60)')} AS BIGINT) AS seed FROM {DOCS})",
-    "fake_structured": f"SELECT doc_id, category, v AS original, replacement FROM ({fakes(f'(SELECT * FROM {DOCS} UNION ALL SELECT -1 - doc_id, text FROM {FIXTURE})', 'v')})",
+    "seeds": f"SELECT doc_id, seed, {hash36('seed')} AS hash36 FROM (SELECT doc_id, CAST({fnv('text')} AS BIGINT) AS seed FROM {WITH_FIXTURE})",
+    "fake_structured": f"SELECT doc_id, category, v AS original, replacement FROM ({fakes(WITH_FIXTURE, 'v')})",
     "fake_keyed": f"SELECT doc_id, category, v AS original, replacement, k AS entity_key FROM ({fakes(DOCS, chr(39).join(['category || ', ':', ' || CASE category WHEN ', 'email', ' THEN lower(v) ELSE v END']))})",
     "fake_ids": f"SELECT c_custkey, {fake_id('c_name')} AS id_value, 'Redacted-' || substr({hash36('seed')}, 1, 6) AS other_value FROM (SELECT c_custkey, c_name, CAST({fnv('c_name')} AS BIGINT) AS seed, CAST({fnv("(c_name || ':lower')")} AS BIGINT) AS low_seed FROM customer)",
     "copy_controls": f"""
