@@ -379,6 +379,7 @@ ORACLE_SQL: dict[str, str] = {
         WINDOW w AS (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
     "engine_disabled": f"SELECT doc_id, text AS output_text, FALSE AS has_pii, CAST(0 AS BIGINT) AS n_entities FROM {DOCS}",
     "engine_simple": masked(TALKS),
+    "runtime_info": "SELECT name, CAST(value AS BIGINT) AS value FROM (VALUES ('long_text_from', 4000), ('chunk_chars', 8000), ('chunk_least', 1200), ('chunk_most', 18000), ('budget_ms', 11000), ('chunk_timeout_ms', 5000), ('quota_retries', 5), ('mapping_ttl_minutes', 30)) AS t(name, value)",
     "engine_status": "SELECT * FROM (VALUES (FALSE, 'simple', FALSE), (TRUE, 'reversible', TRUE)) AS t(enabled, mode, model_ready)",
     **{name: one_pass(i) for i, name in enumerate(("detect_email", "detect_iban", "detect_card", "detect_ipv4", "detect_ipv6", "detect_date", "detect_phone"))},
     "entities_documents": flat(DOCS),
