@@ -144,43 +144,43 @@ class Packer:
         return rows + self._deal()
 
 
-@lru_cache(1)
-def _own(vocabulary: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_str(vocabulary)
-
-
-@lru_cache(1)
-def _special(vocabulary: str) -> tuple[str, ...]:
-    """The tokens that the file's encoder takes out of a text before it splits the rest."""
-    return tuple(t["content"] for t in json.loads(vocabulary).get("added_tokens", ()))
+class Encoder:
+    """The file's own encoder and a faster one from the ranks of its vocabulary, for the texts on which the two agree."""
+
+    def __init__(self, vocabulary: str):
+        import public_tokenizers
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        self.own = Tokenizer.from_str(vocabulary)
+        file = json.loads(vocabulary)
+        #: The tokens that the file's encoder takes out of a text before it splits the rest.
+        self.special = tuple(t["content"] for t in file.get("added_tokens", ()))
+        # The printable stand-ins that byte-level vocabularies use for bytes.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
+        ranks = {bytes(byte[c] for c in t): i for t, i in file["model"]["vocab"].items() if t not in self.special}
+        self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> list[int]:
+        """The file's own encoder decides where a text holds a special token, and beyond Latin-1, where the two could split texts by other Unicode tables."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.own.encode(text, add_special_tokens=False).ids
+        if any(t in text for t in self.special):
+            return self.own.encode(text, add_special_tokens=False).ids
+        return self.fast.encode_ordinary(text)
 
 
 @lru_cache(1)
-def _ranks(vocabulary: str):
-    """A faster encoder to the same ids for texts without special tokens, from the ranks of the file's vocabulary."""
-    import public_tokenizers
-    import tiktoken
-
-    # The printable stand-ins that byte-level vocabularies use for bytes.
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
-    file = json.loads(vocabulary)
-    special = set(_special(vocabulary))
-    ranks = {bytes(byte[c] for c in t): i for t, i in file["model"]["vocab"].items() if t not in special}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+def encoder(vocabulary: str) -> Encoder:
+    """One for each worker.  To be called once a task: looking up a whole file's text costs as much as comparing it."""
+    return Encoder(vocabulary)
 
 
 def encode(text: str, vocabulary: str) -> list[int]:
-    """The file's own encoder decides where a text holds a special token, and beyond Latin-1, where the two could split texts by other Unicode tables."""
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return _own(vocabulary).encode(text, add_special_tokens=False).ids
-    if any(t in text for t in _special(vocabulary)):
-        return _own(vocabulary).encode(text, add_special_tokens=False).ids
-    return _ranks(vocabulary).encode_ordinary(text)
+    return encoder(vocabulary).encode(text)
 
 
 def pack_sequences(docs: DataFrame, tokenizer: str, capacity: int = 1024, separator: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,10 +199,11 @@ def pack_sequences(docs: DataFrame, tokenizer: str, capacity: int = 1024, separa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        own = encoder(shared.value)
         packer, rows, held = Packer(capacity, TaskContext.get().partitionId() << 40), [], 0
         for part in slices(batches):
             for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                ids = array("I", encode(text or "", shared.value))
+                ids = array("I", own.encode(text or ""))
                 ids.append(separator)
                 new = packer.take(doc, np.frombuffer(ids, np.uint32))
                 rows += new
