@@ -32,46 +32,49 @@ _ARROW = pa.schema([(n, pa.binary() if n == "ids" else pa.int64()) for n in (c.s
 
 
 def difference(sizes: list[int], m: int) -> tuple[np.ndarray, list[int]]:
-    """Karmarkar-Karp for m sets: the load of each set and the set of each item."""
+    """Karmarkar-Karp for m sets: the load of each set and the set of each item.
+
+    A partial partition is the loads of its sets that hold something, largest first; the others are empty.
+    """
     if m == 1 or not sizes:
         return np.array([sum(sizes)] + [0] * (m - 1)), [0] * len(sizes)
-    loads: list[np.ndarray] = []
-    made: list[tuple[int, int, np.ndarray] | None] = []
-    heap = []
-    for i, s in enumerate(sizes):
-        a = np.zeros(m, np.int64)
-        a[0] = s
-        loads.append(a)
-        made.append(None)
-        heap.append((-s, i))
+    loads: list[np.ndarray | None] = list(np.array(sizes, np.int64).reshape(-1, 1))
+    made: list[tuple[int, int, int, int, np.ndarray | None] | None] = [None] * len(sizes)
+    heap = [(-s, i) for i, s in enumerate(sizes)]
     heapq.heapify(heap)
     while len(heap) > 1:
         a, b = heapq.heappop(heap)[1], heapq.heappop(heap)[1]
-        total = loads[a] + loads[b][::-1]
-        order = np.argsort(-total, kind="stable")
-        total = total[order]
+        x, y = loads[a], loads[b]
+        n, k = len(x), len(y)
+        if n + k <= m:
+            # No set of one meets a set of the other.
+            total = np.concatenate((x, y[::-1]))
+            order = None if x[-1] >= y[0] == y[-1] else np.argsort(-total, kind="stable")
+        else:
+            total = np.zeros(m, np.int64)
+            total[:n] = x
+            total[m - k :] += y[::-1]
+            order = np.argsort(-total, kind="stable")
+        if order is not None:
+            total = total[order]
         loads[a] = loads[b] = None
         loads.append(total)
-        made.append((a, b, order))
-        heapq.heappush(heap, (int(total[-1] - total[0]), len(loads) - 1))
+        made.append((a, b, n, k, order))
+        heapq.heappush(heap, (int(total[-1] if len(total) == m else 0) - int(total[0]), len(loads) - 1))
     top = heap[0][1]
     slots: list[np.ndarray | None] = [None] * len(loads)
-    slots[top] = np.arange(m)
-    where = [0] * len(sizes)
-    for i in range(top, -1, -1):
-        at, parts = slots[i], made[i]
-        slots[i] = None
-        if parts is None:
-            where[i] = int(at[0])
-        else:
-            a, b, order = parts
-            left = np.empty(m, np.int64)
-            left[order] = at
-            slots[a] = left
-            right = np.empty(m, np.int64)
-            right[m - 1 - order] = at
-            slots[b] = right
-    return loads[top], where
+    slots[top] = np.arange(len(loads[top]))
+    for i in range(top, len(sizes) - 1, -1):
+        at, slots[i] = slots[i], None
+        a, b, n, k, order = made[i]
+        if order is not None:
+            back = np.empty(len(at), np.int64)
+            back[order] = at
+            at = back
+        slots[a], slots[b] = at[:n], at[len(at) - k :][::-1]
+    out = np.zeros(m, np.int64)
+    out[: len(loads[top])] = loads[top]
+    return out, [int(slots[i][0]) for i in range(len(sizes))]
 
 
 def balanced(sizes: list[int], capacity: int) -> tuple[int, list[int]]:
