@@ -4,8 +4,10 @@ import os
 import subprocess
 import sys
 from pathlib import Path
+from unittest.mock import MagicMock
 
 import duckdb
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -67,6 +69,47 @@ def test_mapping_state(spark, tmp_path):
     assert got["a", "00:31:00", "write"] == '{"f1": "o9", "f2": "o2"}' and got["b", "00:30:01", "write"] == '{"g2": "p2"}' and got["c", "00:10:00", "clear"] == "{}"
 
 
+def test_mapping_stream_calls_the_store_once_a_batch():
+    def calls(n):
+        handle = MagicMock()
+        handle.getValueState.return_value.exists.return_value = False
+        handle.getValueState.return_value.get.return_value = None
+        handle.getMapState.return_value.iterator.return_value = []
+        store = L.MappingStore()
+        store.init(handle)
+        us = [1_704_067_200_000_000 + i * 1_000_000 for i in range(n)]
+        rows = pd.DataFrame({"key": "a", "ts": pd.to_datetime(us, unit="us"), "kind": "write", "fake": "f", "original": [str(i) for i in range(n)], "us": us})
+        assert sum(len(out) for out in store.handleInputRows(("a",), iter([rows]), None)) > 0
+        return len(handle.mock_calls)
+
+    assert calls(100) == calls(1) < 10
+
+
+def test_mapping_stream_keeps_state_between_batches(spark, tmp_path):
+    batches = (
+        [("a", "00:00:00", "write", "f1", "o1"), ("b", "00:00:00", "write", "g1", "p1"), ("c", "00:00:00", "write", "h", "q"), ("d", "00:01:00", "write", "\"é", None)],
+        [("a", "00:30:00", "write", "f2", "o2"), ("b", "00:30:01", "write", "g2", "p2"), ("c", "00:10:00", "clear", None, None), ("d", "00:20:00", "write", "k", "l")],
+        [("a", "00:50:00", "write", "f1", "o9"), ("e", "09:00:00", "write", "z", "z")],
+    )
+    schema = "key string, ts timestamp, kind string, fake string, original string"
+    for i, rows in enumerate(batches):
+        own = spark.createDataFrame(rows, "key string, ts string, kind string, fake string, original string").withColumn("ts", F.to_timestamp(F.concat(F.lit("2024-01-01 "), "ts")))
+        own.coalesce(1).write.parquet(str(tmp_path / f"part{i}"))
+        file = next((tmp_path / f"part{i}").glob("*.parquet"))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        file.rename(tmp_path / "in" / f"{i}.parquet")
+        os.utime(tmp_path / "in" / f"{i}.parquet", (1_700_000_000 + i,) * 2)
+    out = L.run_to_end(L.stream(S.read_files(spark, str(tmp_path / "in"), schema, 1), late="1 hour")).collect()
+    got = sorted((r.key, str(r.ts)[11:], r.action, r.n, r.mappings) for r in out)
+    assert got == [
+        ("a", "00:00:00", "write", 1, '{"f1": "o1"}'), ("a", "00:30:00", "write", 2, '{"f1": "o1", "f2": "o2"}'), ("a", "00:50:00", "write", 2, '{"f1": "o9", "f2": "o2"}'), ("a", "01:20:00.001000", "expired", 0, "{}"),
+        ("b", "00:00:00", "write", 1, '{"g1": "p1"}'), ("b", "00:30:01", "expired", 0, "{}"), ("b", "00:30:01", "write", 1, '{"g2": "p2"}'), ("b", "01:00:01.001000", "expired", 0, "{}"),
+        ("c", "00:00:00", "write", 1, '{"h": "q"}'), ("c", "00:10:00", "clear", 0, "{}"),
+        ("d", "00:01:00", "write", 1, '{"\\"é": null}'), ("d", "00:20:00", "write", 2, '{"\\"é": null, "k": "l"}'), ("d", "00:50:00.001000", "expired", 0, "{}"),
+        ("e", "09:00:00", "write", 1, '{"z": "z"}'),
+    ]
+
+
 def test_stream_of_texts(spark, tmp_path):
     from veilspark.operators.mask import mask
 

@@ -11,6 +11,7 @@ import json
 import tempfile
 import uuid
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -68,61 +69,74 @@ def kept(store: DataFrame, live: DataFrame, key: str, live_key: str) -> DataFram
 
 
 class MappingStore(StatefulProcessor):
-    """State of one key: its map, and a timer that empties it when the time to live has passed since the last write."""
+    """State of one key: its map, and a timer that empties it when the time to live has passed since the last write.
+
+    A key's state is one value, read and written once for each batch: every call to the store is a round trip to the JVM.
+    """
 
     def __init__(self, minutes: int = TTL_MINUTES):
         self.ttl_ms = minutes * 60_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.map = handle.getMapState("mappings", "fake string", "original string")
-        self.touched = handle.getValueState("touched", "ms bigint")
-
-    def _row(self, key: str, ms: int, action: str) -> pd.DataFrame:
-        own = {k[0]: v[0] for k, v in self.map.iterator()} if self.map.exists() else {}
-        return pd.DataFrame({"key": [key], "ts": [pd.Timestamp(ms, unit="ms")], "action": [action], "n": [len(own)], "mappings": [json.dumps(own, sort_keys=True, ensure_ascii=False)]})
+        # The map as JSON: a list of its pairs.
+        self.state = handle.getValueState("state", "ms bigint, pairs string")
 
-    def _drop_timers(self) -> None:
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-
-    def _clear(self) -> None:
-        self.map.clear()
-        self.touched.clear()
-        self._drop_timers()
+    @staticmethod
+    def _rows(key: str, ms: list[int], actions: list[str], n: list[int], mappings: list[str]) -> pd.DataFrame:
+        return pd.DataFrame({"key": [key] * len(ms), "ts": pd.to_datetime(ms, unit="ms", utc=True), "action": actions, "n": n, "mappings": mappings})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values("ts", kind="stable")
-        for e in events.itertuples():
-            ms = int(pd.Timestamp(e.ts).value // 1_000_000)
-            if self.touched.exists() and ms - self.touched.get()[0] > self.ttl_ms:
-                self._clear()
-                yield self._row(key[0], ms, "expired")
-            if e.kind == "write":
-                self.map.updateValue((e.fake,), (e.original,))
-                self.touched.update((ms,))
-                self._drop_timers()
-                # A millisecond later: a pause of exactly the time to live keeps the map.
-                self.handle.registerTimer(ms + self.ttl_ms + 1)
-            elif e.kind == "clear":
-                self._clear()
-            yield self._row(key[0], ms, e.kind)
+        events = [e for part in rows for e in zip(*(part[c].tolist() for c in ("us", "kind", "fake", "original")))]
+        events.sort(key=itemgetter(0))
+        before = self.state.get()
+        own, touched = (dict(json.loads(before[1])), before[0]) if before else ({}, None)
+        shown, out = _shown(own), []
+        for us, kind, fake, original in events:
+            ms = us // 1000
+            if touched is not None and ms - touched > self.ttl_ms:
+                own, touched, shown = {}, None, "{}"
+                out.append((ms, "expired", 0, shown))
+            if kind == "write":
+                if fake not in own or own[fake] != original:
+                    own[fake] = original
+                    shown = _shown(own)
+                touched = ms
+            elif kind == "clear":
+                own, touched, shown = {}, None, "{}"
+            out.append((ms, kind, len(own), shown))
+        if before and before[0] != touched:
+            self.handle.deleteTimer(self._end(before[0]))
+        if touched is None:
+            self.state.clear()
+        else:
+            self.state.update((touched, json.dumps(list(own.items()))))
+            if not before or before[0] != touched:
+                self.handle.registerTimer(self._end(touched))
+        yield self._rows(key[0], *map(list, zip(*out)))
+
+    def _end(self, ms: int) -> int:
+        """A millisecond later: a pause of exactly the time to live keeps the map."""
+        return ms + self.ttl_ms + 1
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.map.clear()
-        self.touched.clear()
-        yield self._row(key[0], expiredTimerInfo.getExpiryTimeInMs(), "expired")
+        self.state.clear()
+        yield self._rows(key[0], [expiredTimerInfo.getExpiryTimeInMs()], ["expired"], [0], ["{}"])
 
     def close(self) -> None:
         pass
 
 
+def _shown(own: dict[str, str]) -> str:
+    return json.dumps(own, sort_keys=True, ensure_ascii=False)
+
+
 def stream(events: DataFrame, minutes: int = TTL_MINUTES, late: str = "10 minutes") -> DataFrame:
     """A streaming plan over events (key, ts, kind, fake, original): one row per change of a key's state, in the order of ts.
 
     The watermark only bounds how long a silent key's state waits for its expiry.  Needs the RocksDB state store.
     """
-    own = events.withWatermark("ts", late)
+    own = events.withWatermark("ts", late).select("key", "ts", "kind", "fake", "original", F.unix_micros("ts").alias("us"))
     return own.groupBy("key").transformWithStateInPandas(MappingStore(minutes), outputStructType=OUT, outputMode="Update", timeMode="EventTime")
 
 
