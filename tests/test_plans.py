@@ -110,6 +110,17 @@ def test_mapping_stream_keeps_state_between_batches(spark, tmp_path):
     ]
 
 
+def test_mapping_stream_reads_many_files(spark, tmp_path):
+    db = duckdb.connect()
+    (tmp_path / "events.parquet").mkdir()
+    for i in range(101):
+        db.execute(f"COPY (SELECT * FROM '{DATA}/events.parquet' WHERE event_id % 101 = {i}) TO '{tmp_path}/events.parquet/{i}.parquet' (FORMAT parquet)")
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = db.sql(oracles.ORACLE_SQL["mapping_stream"])
+    got = catalogue.QUERIES["mapping_stream"](spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
+
+
 def test_stream_of_texts(spark, tmp_path):
     from veilspark.operators.mask import mask
 

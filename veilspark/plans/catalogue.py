@@ -316,7 +316,8 @@ def mapping_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mapping_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same store as a stream over the events, run to its end: how many mappings each write or clearing leaves a key."""
     path = f"{sf_dir}/events.parquet"
-    events = _mapping_events(_instants(read_files(spark, path, spark.read.parquet(path).schema)))
+    # The files of a table are in no order of time, so they are one batch, however many.
+    events = _mapping_events(_instants(read_files(spark, path, spark.read.parquet(path).schema, 2**31 - 1)))
     out = L.run_to_end(L.stream(events, 3 * 24 * 60))
     return out.filter("action <> 'expired'").select("key", F.unix_micros("ts").alias("us"), "action", F.col("n").cast("long").alias("n"))
 

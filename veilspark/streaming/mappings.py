@@ -8,10 +8,10 @@ touch it.  The batch plan gives the state at a moment; the stream keeps it in a
 from __future__ import annotations
 
 import json
+import math
 import tempfile
 import uuid
 from collections.abc import Iterator
-from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +23,10 @@ from ..functions.validators import micros
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 OUT = "key string, ts timestamp, action string, n int, mappings string"
+# As they leave Python: a row for each key, since a frame costs more than its rows.
+_PACKED = "key string, changes array<struct<ms:bigint,action:string,n:int,mappings:string>>"
+#: Changes in such a row, at most.
+PACK = 10_000
 
 
 def sessions(events: DataFrame, key: str, ts: str, minutes: int = TTL_MINUTES) -> DataFrame:
@@ -83,37 +87,44 @@ class MappingStore(StatefulProcessor):
         self.state = handle.getValueState("state", "ms bigint, pairs string")
 
     @staticmethod
-    def _rows(key: str, ms: list[int], actions: list[str], n: list[int], mappings: list[str]) -> pd.DataFrame:
-        return pd.DataFrame({"key": [key] * len(ms), "ts": pd.to_datetime(ms, unit="ms", utc=True), "action": actions, "n": n, "mappings": mappings})
+    def _row(key: str, changes: list[dict]) -> pd.DataFrame:
+        return pd.DataFrame({"key": [key], "changes": [changes]})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         events = [e for part in rows for e in zip(*(part[c].tolist() for c in ("us", "kind", "fake", "original")))]
-        events.sort(key=itemgetter(0))
+        # Where a time is missing, pandas has floats and NaN; those events are the last, as in SQL.
+        events.sort(key=lambda e: e[0] if e[0] == e[0] else math.inf)
         before = self.state.get()
         own, touched = (dict(json.loads(before[1])), before[0]) if before else ({}, None)
-        shown, out = _shown(own), []
+        timer, shown, out = touched, _shown(own), []
+
+        def tell(ms: int | None, action: str) -> None:
+            out.append({"ms": ms, "action": action, "n": len(own), "mappings": shown})
+
         for us, kind, fake, original in events:
-            ms = us // 1000
-            if touched is not None and ms - touched > self.ttl_ms:
+            ms = int(us) // 1000 if us == us else None
+            if None not in (ms, touched) and ms - touched > self.ttl_ms:
                 own, touched, shown = {}, None, "{}"
-                out.append((ms, "expired", 0, shown))
+                tell(ms, "expired")
             if kind == "write":
                 if fake not in own or own[fake] != original:
                     own[fake] = original
                     shown = _shown(own)
-                touched = ms
+                touched = touched if ms is None else ms
             elif kind == "clear":
                 own, touched, shown = {}, None, "{}"
-            out.append((ms, kind, len(own), shown))
-        if before and before[0] != touched:
-            self.handle.deleteTimer(self._end(before[0]))
-        if touched is None:
-            self.state.clear()
-        else:
+            tell(ms, kind)
+        if own:
             self.state.update((touched, json.dumps(list(own.items()))))
-            if not before or before[0] != touched:
+        else:
+            self.state.clear()
+        if timer != touched:
+            if timer is not None:
+                self.handle.deleteTimer(self._end(timer))
+            if touched is not None:
                 self.handle.registerTimer(self._end(touched))
-        yield self._rows(key[0], *map(list, zip(*out)))
+        for i in range(0, len(out), PACK):
+            yield self._row(key[0], out[i : i + PACK])
 
     def _end(self, ms: int) -> int:
         """A millisecond later: a pause of exactly the time to live keeps the map."""
@@ -121,7 +132,7 @@ class MappingStore(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.state.clear()
-        yield self._rows(key[0], [expiredTimerInfo.getExpiryTimeInMs()], ["expired"], [0], ["{}"])
+        yield self._row(key[0], [{"ms": expiredTimerInfo.getExpiryTimeInMs(), "action": "expired", "n": 0, "mappings": "{}"}])
 
     def close(self) -> None:
         pass
@@ -137,7 +148,8 @@ def stream(events: DataFrame, minutes: int = TTL_MINUTES, late: str = "10 minute
     The watermark only bounds how long a silent key's state waits for its expiry.  Needs the RocksDB state store.
     """
     own = events.withWatermark("ts", late).select("key", "ts", "kind", "fake", "original", F.unix_micros("ts").alias("us"))
-    return own.groupBy("key").transformWithStateInPandas(MappingStore(minutes), outputStructType=OUT, outputMode="Update", timeMode="EventTime")
+    out = own.groupBy("key").transformWithStateInPandas(MappingStore(minutes), outputStructType=_PACKED, outputMode="Update", timeMode="EventTime")
+    return out.select("key", F.inline("changes")).select("key", F.timestamp_millis("ms").alias("ts"), "action", "n", "mappings")
 
 
 def run_to_end(changes: DataFrame) -> DataFrame:
