@@ -85,6 +85,17 @@ def test_mapping_stream_calls_the_store_once_a_batch():
     assert calls(100) == calls(1) < 10
 
 
+def test_mapping_stream_of_one_large_key_leaves_in_pieces():
+    handle = MagicMock()
+    handle.getValueState.return_value.get.return_value = None
+    store = L.MappingStore()
+    store.init(handle)
+    n = 2000
+    rows = pd.DataFrame({"kind": "write", "fake": [f"fake{i}" for i in range(n)], "original": "o" * 20, "us": range(n)})
+    got = [(len(changes), sum(len(c["mappings"]) for c in changes)) for out in store.handleInputRows(("a",), iter([rows]), None) for changes in out.changes]
+    assert sum(k for k, _ in got) == n and len(got) > 10 and max(size for _, size in got) < 4_200_000
+
+
 def test_mapping_stream_keeps_state_between_batches(spark, tmp_path):
     batches = (
         [("a", "00:00:00", "write", "f1", "o1"), ("b", "00:00:00", "write", "g1", "p1"), ("c", "00:00:00", "write", "h", "q"), ("d", "00:01:00", "write", "\"é", None)],

@@ -25,8 +25,8 @@ _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 OUT = "key string, ts timestamp, action string, n int, mappings string"
 # As they leave Python: a row for each key, since a frame costs more than its rows.
 _PACKED = "key string, changes array<struct<ms:bigint,action:string,n:int,mappings:string>>"
-#: Changes in such a row, at most.
-PACK = 10_000
+#: Such a row ends with this many changes, or characters of mappings.
+PACK, PACK_CHARS = 10_000, 4_000_000
 
 
 def sessions(events: DataFrame, key: str, ts: str, minutes: int = TTL_MINUTES) -> DataFrame:
@@ -96,16 +96,12 @@ class MappingStore(StatefulProcessor):
         events.sort(key=lambda e: e[0] if e[0] == e[0] else math.inf)
         before = self.state.get()
         own, touched = (dict(json.loads(before[1])), before[0]) if before else ({}, None)
-        timer, shown, out = touched, _shown(own), []
-
-        def tell(ms: int | None, action: str) -> None:
-            out.append({"ms": ms, "action": action, "n": len(own), "mappings": shown})
-
+        timer, shown, out, size = touched, _shown(own), [], 0
         for us, kind, fake, original in events:
             ms = int(us) // 1000 if us == us else None
             if None not in (ms, touched) and ms - touched > self.ttl_ms:
                 own, touched, shown = {}, None, "{}"
-                tell(ms, "expired")
+                out.append({"ms": ms, "action": "expired", "n": 0, "mappings": shown})
             if kind == "write":
                 if fake not in own or own[fake] != original:
                     own[fake] = original
@@ -113,7 +109,11 @@ class MappingStore(StatefulProcessor):
                 touched = touched if ms is None else ms
             elif kind == "clear":
                 own, touched, shown = {}, None, "{}"
-            tell(ms, kind)
+            out.append({"ms": ms, "action": kind, "n": len(own), "mappings": shown})
+            size += len(shown)
+            if len(out) >= PACK or size >= PACK_CHARS:
+                yield self._row(key[0], out)
+                out, size = [], 0
         if own:
             self.state.update((touched, json.dumps(list(own.items()))))
         else:
@@ -123,8 +123,8 @@ class MappingStore(StatefulProcessor):
                 self.handle.deleteTimer(self._end(timer))
             if touched is not None:
                 self.handle.registerTimer(self._end(touched))
-        for i in range(0, len(out), PACK):
-            yield self._row(key[0], out[i : i + PACK])
+        if out:
+            yield self._row(key[0], out)
 
     def _end(self, ms: int) -> int:
         """A millisecond later: a pause of exactly the time to live keeps the map."""
